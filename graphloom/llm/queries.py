@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import near_duplicate_vectors
 from .minhash_dedup import near_duplicate_documents
+from .packing import pack
+from .token_files import token_file_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +24,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup)}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op4_token_files, op8_packing)}
 ORACLES: dict[str, str] = {}
