@@ -180,6 +180,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")
 
 
+def in_a_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that have a language: not `und`, and a first language of at least that share."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    found = rows.mapInArrow(_predict(model), f"row {kind}, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+
+
 def language_of(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, mixture: learned from documents outside fold 0 of 5."""
     model = train(docs.where(~held_out("doc_id", 5, 0)))

@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if n > sample:  # the same bound on the documents' side, before their texts move
         texts = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < sample / n * (1 << 20))
-    measured = with_statistics(texts).dropDuplicates(["id"])
+    measured = with_statistics(texts, F.col("doc_id")).dropDuplicates(["id"])
     table = measured.join(marks, "id").orderBy("id").toArrow()
     x = np.stack([table[s].to_numpy() for s in STATS], 1) if table.num_rows else np.zeros((0, len(STATS)))
     return fit(x, table["mark"].to_numpy().astype(np.float64) if table.num_rows else np.zeros(0))
@@ -106,10 +106,16 @@ def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col
     Null texts count as empty and are scored; repeated rows each get their result; other
     columns are not read; an empty table gives no rows.
     """
-    scored = with_statistics(docs, id_col, text_col).select(F.col("id").alias("doc_id"), model.column().alias("score"))
+    scored = with_statistics(docs, F.col(id_col).cast("long"), text_col).select(F.col("id").alias("doc_id"), model.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def accepted(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold; nothing is shuffled."""
+    scored = with_statistics(docs, F.struct("*"), text_col).where(model.column() >= threshold)
+    return scored.select("id.*")
+
+
 def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learned from labelled documents outside fold 1 of 3."""
     model = train(docs.where(~held_out("doc_id", 3, 1)), labels.where(~held_out("doc_id", 3, 1)))

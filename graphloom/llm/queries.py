@@ -12,8 +12,10 @@ from .minhash_dedup import near_duplicate_documents
 from .mixing import mix, source_levels
 from .packing import pack
 from .quality_rules import quality_of
+from .recurrent_lm import model_scores
 from .token_files import token_file_digest
 from .url_filter import url_verdicts
+from .winnowing import fingerprints
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +51,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_of(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_mixing, op4_token_files, op5_language_id, op6_url_filter, op8_packing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_mixing, op4_token_files, op5_language_id, op6_url_filter, op7_winnowing, op8_packing, op9_recurrent_lm, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

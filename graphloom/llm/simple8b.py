@@ -88,11 +88,19 @@ def decode_block(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
 
 
 def write_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    codes = rank[inverse] if len(ids) else np.zeros(0, np.uint32)
+    if len(ids) and ids.max() < 1 << 22:  # by counting; any larger ids by sorting
+        counts = np.bincount(ids)
+        distinct = np.flatnonzero(counts)
+        order = np.argsort(-counts[distinct], kind="stable")
+        rank = np.zeros(len(counts), np.uint32)
+        rank[distinct[order]] = np.arange(len(order), dtype=np.uint32)
+        codes = rank[ids]
+    else:
+        distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.zeros(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        codes = rank[inverse]
     table, payload, offset = [], [], 0
     for i in range(0, len(codes), BLOCK_IDS):
         part = codes[i : i + BLOCK_IDS]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import slices, text_buffers, word_hashes, words
@@ -87,7 +87,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(table[:, i]) for i in range(len(STATS)))], names=["id", *STATS])
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and STATS (double) of every whole text; null texts count as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_run, "id long, " + ", ".join(f"{s} double" for s in STATS))
+def with_statistics(docs: DataFrame, carry: Column, text_col: str = "text") -> DataFrame:
+    """`id` (the carried column, of any type) and STATS (double) of every whole text; null texts count as empty."""
+    rows = docs.select(carry.alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_run, f"id {kind}, " + ", ".join(f"{s} double" for s in STATS))

@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that, pieces are encoded each time.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _MEETING = re.compile(r" \s|\s ")
 
 
