@@ -14,12 +14,11 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, ids_of, vocabulary_path
+from .tokens import encoder, portions, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -74,7 +73,7 @@ def _pack(vocabulary: str, capacity: int, end_id: int, part: int, pool_ids: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        encode_all = encoder(vocabulary).encode_all
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         pool: list[tuple] = []
@@ -97,22 +96,25 @@ def _pack(vocabulary: str, capacity: int, end_id: int, part: int, pool_ids: int)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blob = encode(text.as_py()) + end
-                n = len(blob) // 4
-                full = n // capacity * capacity
-                for a in range(0, full, capacity):
-                    rows.append((doc, a, capacity, zlib.crc32(blob[4 * a : 4 * (a + capacity)]), n, sequence, 0))
-                    sequence += 1
-                # parts of a document are near-equal too, so that no pool is left with crumbs
-                pieces = -(-(n - full) // part)
-                for j in range(pieces):
-                    a, b = full + (n - full) * j // pieces, full + (n - full) * (j + 1) // pieces
-                    pool.append((doc, a, b - a, zlib.crc32(blob[4 * a : 4 * b]), n))
-                    held += b - a
-                if held >= pool_ids:
-                    drain()
-            yield batch_of()
+            for portion in portions(batch, 1):
+                ids, sizes = encode_all(portion.column(1), end_id)
+                first = 0
+                for doc, n in zip(portion.column(0).to_pylist(), sizes.tolist(), strict=True):
+                    own = ids[first : first + n]
+                    first += n
+                    full = n // capacity * capacity
+                    for a in range(0, full, capacity):
+                        rows.append((doc, a, capacity, zlib.crc32(own[a : a + capacity]), n, sequence, 0))
+                        sequence += 1
+                    # parts of a document are near-equal too, so that no pool is left with crumbs
+                    pieces = -(-(n - full) // part)
+                    for j in range(pieces):
+                        a, b = full + (n - full) * j // pieces, full + (n - full) * (j + 1) // pieces
+                        pool.append((doc, a, b - a, zlib.crc32(own[a:b]), n))
+                        held += b - a
+                    if held >= pool_ids:
+                        drain()
+                yield batch_of()
         if pool:
             drain()
         yield batch_of()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, shuffle_width
 from .simple8b import read_file, write_file
-from .tokens import encoder, ids_of, vocabulary_path
+from .tokens import PORTION, encoder, portions, vocabulary_path
 
 FILE_IDS = 1 << 21
 _FILE = "shard long, piece long, n_docs long, n_ids long, data binary"
@@ -28,23 +28,23 @@ def _write(vocabulary: str, end_id: int, file_ids: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        docs, lengths, blobs, held, piece = [], [], [], 0, 0
+        encode_all = encoder(vocabulary).encode_all
+        docs, lengths, parts, held, piece = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = ids_of(b"".join(blobs))
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([piece]), pa.array([len(docs)]), pa.array([len(ids)]), pa.array([write_file(docs, np.array(lengths), ids)], pa.binary())], names=["shard", "piece", "n_docs", "n_ids", "data"])
+            ids = np.concatenate(parts)
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([piece]), pa.array([len(docs)]), pa.array([len(ids)]), pa.array([write_file(docs, np.concatenate(lengths), ids)], pa.binary())], names=["shard", "piece", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blob = encode(text.as_py()) + end
-                docs.append(doc)
-                lengths.append(len(blob) // 4)
-                blobs.append(blob)
-                held += lengths[-1]
+            for portion in portions(batch, 1, min(PORTION, 4 * file_ids)):
+                ids, sizes = encode_all(portion.column(1), end_id)
+                docs += portion.column(0).to_pylist()
+                lengths.append(sizes)
+                parts.append(ids)
+                held += len(ids)
                 if held >= file_ids:
                     yield flush()
-                    docs, lengths, blobs, held, piece = [], [], [], 0, piece + 1
+                    docs, lengths, parts, held, piece = [], [], [], 0, piece + 1
         if docs:
             yield flush()
 

@@ -1,9 +1,12 @@
 """Token ids of whole texts with the tokenizers library.
 
 A pre-token of the byte-level vocabulary never spans a space between other characters, so
-a text is cut at its spaces and every piece (with the space before it) is encoded on its
-own; a worker remembers a bounded number of pieces. Texts in which white space meets a
-space are encoded as they are, because there the cut could matter.
+a text is cut at its spaces and every different piece of a portion of texts (with the space
+before it) is encoded on its own; a worker remembers a bounded number of pieces. A run of letters at the start of a
+piece is a pre-token of its own, so it is looked up apart from what follows it. Runs not
+met before go to the vocabulary's model many at a time: no merge joins two of them, and
+each begins with an id that holds the space. Texts in which white space meets a space are
+encoded as they are, because there the cut could matter.
 """
 
 from __future__ import annotations
@@ -11,12 +14,21 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond that, pieces are encoded each time.
+#: Pieces that a worker remembers, in two generations; when the young one is full, the old one is forgotten.
 REMEMBERED = 700_000
-_MEETING = re.compile(r" \s|\s ")
+#: Letters of which every version of Unicode says that they are letters, and runs of them before another ASCII character.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+_RUN = re.compile(f"([{_LETTERS}]+)([\x00-\x40\x5b-\x60\x7b-\x7f].*)?", re.DOTALL)
+#: Runs that go to the model at once, and the longest text that is remembered.
+_AT_ONCE, _LONGEST = 64, 64
+#: Bytes of text that are encoded together.
+PORTION = 8 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,36 +37,155 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    def __init__(self, tokenizer, before: str) -> None:
-        super().__init__()
-        self.tokenizer, self.before = tokenizer, before
+class _Memory:
+    """Ids of texts, in two generations; what is still used moves from the old to the young one."""
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids).tobytes()
-        if len(self) < REMEMBERED and len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    def __init__(self, most: int) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = most // 2
+
+    def age(self) -> None:
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+
+def _edged(pieces: pa.Array) -> np.ndarray:
+    """Which pieces are empty or have white space at an end."""
+    size = pc.binary_length(pieces).to_numpy()
+    return (size == 0) | (size != pc.binary_length(pc.utf8_trim_whitespace(pieces)).to_numpy())
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit bytes; a null text has none."""
+    """encode_all gives the ids of many texts; a null text has none."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.rest = _Pieces(self.tokenizer, ""), _Pieces(self.tokenizer, " ")
+        self.spaced, self.bare = _Memory(remembered), _Memory(remembered // 4)
+        # how the vocabulary writes a space and the letters
+        written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + c)[0][0] for c in _LETTERS}
+        self.alphabet = str.maketrans({c: w[1:] for c, w in written.items()} | {" ": written["A"][0]})
+        mark, signs = written["A"][0], set("".join(written.values()))
+        known = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.opens = np.zeros(max(known.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in known.items() if t.startswith(mark)]] = True
+        self.apart = not any(mark in t[1:] and signs.issuperset(t) for t in known)
+        self.model = self.tokenizer.model
+
+    def plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run of letters with a space before it."""
+        out: list[bytes] = []
+        for i in range(0, len(runs), _AT_ONCE):
+            some = runs[i : i + _AT_ONCE]
+            ids = np.array([t.id for t in self.model.tokenize((" " + " ".join(some)).translate(self.alphabet))], "<u4") if self.apart else np.zeros(0, "<u4")
+            cuts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+            else:
+                out += [self.plain(" " + run) for run in some]
+        return out
+
+    def _tail(self, tail: str) -> bytes:
+        if (found := self.bare.get(tail)) is None:
+            found = self.bare.young[tail] = self.plain(tail)
+        return found
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of these different pieces with a space before it; none has white space at an end."""
+        self.spaced.age()
+        self.bare.age()
+        young, old = self.spaced.young, self.spaced.old
+        found = list(map(young.get, pieces))
+        runs: dict[str, bytes | None] = {}
+        cut = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            piece = pieces[i]
+            if (ids := old.get(piece)) is not None:
+                found[i] = young[piece] = ids
+            elif len(piece) <= _LONGEST and (match := _RUN.fullmatch(piece)):
+                run, tail = match.groups()
+                ids = None if run in runs else self.spaced.get(run)
+                if ids is None:
+                    runs[run] = None
+                    cut.append((i, run, tail))
+                else:
+                    # only what follows a known run is remembered as a whole
+                    found[i] = young[piece] = ids + self._tail(tail)
+            else:
+                found[i] = self.plain(" " + piece)
+                if len(piece) <= _LONGEST:
+                    young[piece] = found[i]
+        if runs:
+            runs.update(zip(runs, self._runs(list(runs)), strict=True))
+            young.update(runs)
+        for i, run, tail in cut:
+            found[i] = runs[run] + self._tail(tail) if tail else runs[run]
+        return found
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _MEETING.search(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+        """The ids of one text as little-endian unsigned 32-bit bytes."""
+        return self.encode_all(pa.array([text], pa.string()), 0)[0][:-1].tobytes()
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's with end_id behind them, and how many ids each text has with it."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        table = split.flatten().dictionary_encode()
+        offsets -= offsets[0]
+        at = table.indices.to_numpy().copy()
+        names = table.dictionary.to_numpy(zero_copy_only=False).tolist()
+        inner = np.ones(len(at), bool)
+        inner[offsets[:-1]] = False
+        # the first piece of a text has no space before it; the others that occur are looked up together
+        used = np.zeros(len(names), bool)
+        used[at[inner]] = True
+        edged = _edged(table.dictionary)
+        wanted = np.flatnonzero(used & ~edged).tolist()
+        ids = [b""] * len(names)
+        for i, found in zip(wanted, self.pieces([names[i] for i in wanted]), strict=True):
+            ids[i] = found
+        many = offsets[1:] - offsets[:-1]
+        owner = np.repeat(np.arange(n), many)
+        touching = np.zeros(n, bool)
+        touching[owner[edged[at] & inner]] = True
+        touching |= np.array([bool(names[i]) and names[i][-1].isspace() for i in at[offsets[:-1]].tolist()]) & (many > 1)
+        # a text in which white space meets a space stands as a whole in place of its first piece
+        firsts = [self.plain(texts[d].as_py()) if whole else self.plain(names[i]) if names[i] else b"" for d, (i, whole) in enumerate(zip(at[offsets[:-1]].tolist(), touching.tolist(), strict=True))]
+        at[offsets[:-1]] = len(names) + np.arange(n)
+        at[touching[owner] & inner] = len(names) + n
+        at = np.insert(at, offsets[1:], len(names) + n + 1)
+        ids += [*firsts, b"", np.array([end_id], "<u4").tobytes()]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        ends = np.cumsum(sizes[at], dtype=np.int64)
+        last = offsets[1:] + np.arange(n)  # where each text's end id came to lie among the pieces
+        return np.frombuffer(b"".join(map(ids.__getitem__, at.tolist())), "<u4"), np.diff(ends[last], prepend=0)
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(sizes):
+        return
+    cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
 
 
 _encoders: dict[str, Encoder] = {}
