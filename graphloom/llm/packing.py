@@ -26,35 +26,45 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     """The items of `ways` near-equal windows (Karmarkar-Karp).
 
-    A partial partition is a tuple of `ways` sums with the items behind each; only the sums
-    above the least one are stored. The two partitions with the largest spread are merged,
-    the large sums of one with the small sums of the other.
+    A partial partition lists its non-empty windows in falling order of their sums above the
+    least one. The two partitions with the largest spread are merged, the large sums of one
+    with the small sums of the other. A window is one integer, its sum above the node that
+    holds its items: an item, or a pair of nodes that were merged.
     """
+    n = len(sizes)
     if ways == 1:
-        return [list(range(len(sizes)))]
-    heap = [(-n, i, [(n, [i])]) for i, n in enumerate(sizes)]
+        return [list(range(n))]
+    bits = (2 * n).bit_length()
+    node = (1 << bits) - 1
+    pairs: list[tuple[int, int]] = []
+    heap = [(-size, i, [size << bits | i]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    done: list[list[int]] = [[] for _ in range(ways)]
-    count = len(sizes)
+    count = n
     while len(heap) > 1:
-        _, _, x = heapq.heappop(heap)
-        _, _, y = heapq.heappop(heap)
-        # x and y list their non-zero windows in falling order; the rest of the `ways` windows are empty
-        if len(x) + len(y) <= ways:
-            merged = sorted(x + y, key=lambda w: -w[0])
+        x = heapq.heappop(heap)[2]
+        y = heap[0][2]
+        over = len(x) + len(y) - ways
+        if over <= 0:
+            merged = x + y
         else:
-            spare = ways - len(x)
-            y_rest, y_small = y[:spare], y[spare:]
-            merged = x[: len(x) - len(y_small)] + y_rest
-            merged += [(a + b, p + q) for (a, p), (b, q) in zip(reversed(x[len(x) - len(y_small) :]), y_small, strict=True)]
-            merged.sort(key=lambda w: -w[0])
-            if len(merged) == ways and (low := merged[-1][0]):
-                merged = [(a - low, p) for a, p in merged]
-        heapq.heappush(heap, (-merged[0][0], count, merged))
+            merged = x[:-over] + y[: len(y) - over]
+            for a, b in zip(reversed(x[-over:]), y[len(y) - over :], strict=True):
+                merged.append((a & ~node) + (b & ~node) | (n + len(pairs)))
+                pairs.append((a & node, b & node))
+        merged.sort(reverse=True)
+        if len(merged) == ways and (low := merged[-1] & ~node):
+            merged = [w - low for w in merged]
+        heapq.heapreplace(heap, (-(merged[0] >> bits), count, merged))
         count += 1
-    final = heap[0][2] if heap else []
-    for w, (_, items) in zip(done, final, strict=False):
-        w += items
+    done: list[list[int]] = [[] for _ in range(ways)]
+    for items, window in zip(done, heap[0][2] if heap else [], strict=False):
+        open_ = [window & node]
+        while open_:
+            k = open_.pop()
+            if k < n:
+                items.append(k)
+            else:
+                open_ += pairs[k - n]
     return done
 
 
