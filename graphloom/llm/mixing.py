@@ -21,6 +21,8 @@ from .shared import settle
 DOMAINS = {"web": ("src0", "src1", "src2", "src3", "src4", "src5"), "books": ("src6", "src7", "src8", "src9"), "forums": ("src10", "src11", "src12", "src13", "src14"), "reference": ("src15", "src16", "src17", "src18", "src19")}
 WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("forums",): 1.0, ("reference",): 2.0}
 BUCKETS = 4096
+#: Leaves up to which a table with a row for each is broadcast.
+SMALL = 100_000
 
 
 def domain_of(source: Column, domains: Mapping[str, tuple] = DOMAINS) -> Column:
@@ -109,7 +111,8 @@ def mix(
     edge = sums.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("fits", F.col("before") + F.col("n") <= F.col("part"))
     # the first bucket that does not fit, if any
     edge = edge.where("not fits").groupBy("__leaf").agg(F.min(F.struct("bucket", "before")).alias("edge")).select("__leaf", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))
-    marked = partial.join(edge, "__leaf", "left")
+    # one row for each leaf, and the leaves were counted above: within the bound no leaf is moved to one place
+    marked = partial.join(F.broadcast(edge) if len(leaves) <= SMALL else edge, "__leaf", "left")
     cut = marked.where("bucket = edge").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("__leaf").orderBy("place"))).where("upto <= part").select("__leaf", "id", "epoch", "leaf_budget")
     taken = marked.where("edge is null or bucket < edge").select("__leaf", "id", "epoch", "leaf_budget").union(cut)
     whole = light.join(table.where("part is null"), "__leaf").select("__leaf", "id", "epoch", "leaf_budget")
