@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
 from .textbytes import _BLANK, _LOWER, slices, text_buffers
 
 ORDER, BUCKETS = 3, 1 << 15
@@ -91,6 +92,7 @@ def _fit(p: np.ndarray, counts: np.ndarray, steps: int = 25) -> tuple[np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
@@ -129,6 +131,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 def _predict(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column("text")
             data, offsets = text_buffers(texts)

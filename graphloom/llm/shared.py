@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` gives. A worker keeps it for its later tasks, until it is asked for another name."""
+    if name not in _kept:
+        release()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Let go of what this worker keeps and give the memory back: a worker outlives the stage it was started for."""
+    if not _kept:
+        return
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of equal keys of a partition that is sorted by them, one table each, across batch borders."""
     held: list[pa.Table] = []

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
 from .textbytes import slices, text_buffers, word_hashes, words
 
 #: Names of the statistics, in the order of the rows of `statistics`.
@@ -80,6 +81,7 @@ def _sums_of(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         data, offsets = text_buffers(batch.column("text"))
         found = [statistics(data, offsets[lo : hi + 1]) for lo, hi in slices(offsets)]

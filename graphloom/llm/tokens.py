@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import kept
+
 #: Pieces that a worker remembers, in two generations; when the young one is full, the old one is forgotten.
 REMEMBERED = 700_000
 #: Letters of which every version of Unicode says that they are letters, and runs of them before another ASCII character.
@@ -188,14 +190,9 @@ def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterato
         yield batch.slice(a, b - a)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file and worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for a worker's tasks in a row."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def ids_of(blob: bytes) -> np.ndarray:
