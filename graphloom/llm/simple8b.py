@@ -37,16 +37,23 @@ def encode_block(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     pick = np.full(n, len(WIDTHS) - 1, np.int8)
     for s in range(len(WIDTHS) - 2, -1, -1):
-        over = np.zeros(n + COUNTS[s] + 1, np.int32)
-        np.cumsum(codes >= (1 << WIDTHS[s]) - 1, out=over[1 : n + 1])
+        # differences of a running count are right in 16 bits, for no word holds that many codes
+        over = np.zeros(n + COUNTS[s] + 1, np.uint16)
+        np.cumsum(codes >= (1 << WIDTHS[s]) - 1, dtype=np.uint16, out=over[1 : n + 1])
         over[n + 1 :] = over[n]
-        pick[over[COUNTS[s] : COUNTS[s] + n] - over[:n] <= ALLOWED[s]] = s
-    step = (np.arange(n) + np.asarray(COUNTS)[pick]).tolist()
+        np.copyto(pick, s, where=over[COUNTS[s] : COUNTS[s] + n] - over[:n] <= ALLOWED[s])
+    # where the next word starts, and from there the fourth; four runs of starts are walked as one
+    step = np.full(n + 1, n)
+    step[:n] = np.minimum(np.arange(n) + np.asarray(COUNTS)[pick], n)
+    second = step[step]
+    fourth = second[second].tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = step[i]
-    at = np.asarray(starts)
+        i = fourth[i]
+    first = np.asarray(starts)
+    at = np.stack([first, step[first], second[first], step[second[first]]], 1).ravel()
+    at = at[at < n]
     selector = pick[at].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
     escaped = np.zeros(n, bool)

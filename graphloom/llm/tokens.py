@@ -27,6 +27,7 @@ REMEMBERED = 700_000
 #: Letters of which every version of Unicode says that they are letters, and runs of them before another ASCII character.
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 _RUN = re.compile(f"([{_LETTERS}]+)([\x00-\x40\x5b-\x60\x7b-\x7f].*)?", re.DOTALL)
+_SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 #: Runs that go to the model at once, and the longest text that is remembered.
 _AT_ONCE, _LONGEST = 64, 64
 #: Bytes of text that are encoded together.
@@ -39,6 +40,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _split(piece: str) -> tuple[str, str | None] | None:
+    """The run of letters at the start of a piece and what follows it; None where another sign begins or follows it."""
+    run = piece.rstrip(_SIGNS)
+    if run.isascii() and run.isalpha():
+        return run, piece[len(run) :]
+    match = _RUN.fullmatch(piece)
+    return match and match.groups()
+
+
 class _Memory:
     """Ids of texts, in two generations; what is still used moves from the old to the young one."""
 
@@ -101,9 +111,12 @@ class Encoder:
                 out += [self.plain(" " + run) for run in some]
         return out
 
-    def _tail(self, tail: str) -> bytes:
-        if (found := self.bare.get(tail)) is None:
-            found = self.bare.young[tail] = self.plain(tail)
+    def _bare(self, text: str) -> bytes:
+        """Ids of a text as it is, remembered if it is short."""
+        if len(text) > _LONGEST:
+            return self.plain(text)
+        if (found := self.bare.get(text)) is None:
+            found = self.bare.young[text] = self.plain(text)
         return found
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
@@ -113,29 +126,34 @@ class Encoder:
         young, old = self.spaced.young, self.spaced.old
         found = list(map(young.get, pieces))
         runs: dict[str, bytes | None] = {}
-        cut = []
+        alone, cut = [], []
         for i in [i for i, ids in enumerate(found) if ids is None]:
             piece = pieces[i]
             if (ids := old.get(piece)) is not None:
                 found[i] = young[piece] = ids
-            elif len(piece) <= _LONGEST and (match := _RUN.fullmatch(piece)):
-                run, tail = match.groups()
+            elif len(piece) > _LONGEST:
+                found[i] = self.plain(" " + piece)
+            elif piece.isascii() and piece.isalpha():
+                runs[piece] = None
+                alone.append(i)
+            elif found_run := _split(piece):
+                run, tail = found_run
                 ids = None if run in runs else self.spaced.get(run)
                 if ids is None:
                     runs[run] = None
                     cut.append((i, run, tail))
                 else:
                     # only what follows a known run is remembered as a whole
-                    found[i] = young[piece] = ids + self._tail(tail)
+                    found[i] = young[piece] = ids + self._bare(tail)
             else:
-                found[i] = self.plain(" " + piece)
-                if len(piece) <= _LONGEST:
-                    young[piece] = found[i]
+                found[i] = young[piece] = self.plain(" " + piece)
         if runs:
             runs.update(zip(runs, self._runs(list(runs)), strict=True))
             young.update(runs)
+        for i in alone:
+            found[i] = runs[pieces[i]]
         for i, run, tail in cut:
-            found[i] = runs[run] + self._tail(tail) if tail else runs[run]
+            found[i] = runs[run] + self._bare(tail) if tail else runs[run]
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -169,15 +187,20 @@ class Encoder:
         touching[owner[edged[at] & inner]] = True
         touching |= np.array([bool(names[i]) and names[i][-1].isspace() for i in at[offsets[:-1]].tolist()]) & (many > 1)
         # a text in which white space meets a space stands as a whole in place of its first piece
-        firsts = [self.plain(texts[d].as_py()) if whole else self.plain(names[i]) if names[i] else b"" for d, (i, whole) in enumerate(zip(at[offsets[:-1]].tolist(), touching.tolist(), strict=True))]
+        firsts = [self.plain(texts[d].as_py()) if whole else self._bare(names[i]) if names[i] else b"" for d, (i, whole) in enumerate(zip(at[offsets[:-1]].tolist(), touching.tolist(), strict=True))]
         at[offsets[:-1]] = len(names) + np.arange(n)
         at[touching[owner] & inner] = len(names) + n
         at = np.insert(at, offsets[1:], len(names) + n + 1)
         ids += [*firsts, b"", np.array([end_id], "<u4").tobytes()]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
-        ends = np.cumsum(sizes[at], dtype=np.int64)
+        # the ids of every different piece once, and from there to each place where the piece stands
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begins = np.cumsum(sizes) - sizes
+        widths = sizes[at]
+        ends = np.cumsum(widths)
+        place = np.repeat(begins[at] - ends + widths, widths)
+        place += np.arange(len(place))
         last = offsets[1:] + np.arange(n)  # where each text's end id came to lie among the pieces
-        return np.frombuffer(b"".join(map(ids.__getitem__, at.tolist())), "<u4"), np.diff(ends[last], prepend=0)
+        return np.frombuffer(b"".join(ids), "<u4")[place], np.diff(ends[last], prepend=0)
 
 
 def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
