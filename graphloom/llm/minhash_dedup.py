@@ -7,6 +7,8 @@ compared; in a crowded region the scan goes as deep as the order does and takes
 document's nearest neighbours by longest common prefix. Candidates are confirmed on full
 sets. A crowd can hang on one text that its members resemble more than each other, so a
 document refused by a member of a group is also confirmed against the hubs of that group.
+What a crowded region still holds in different groups is then compared pair by pair: whole
+signatures in blocks, and full sets where those agree as alike documents do.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, release, settle, shuffle_width
+from .shared import components, release, settle, shuffle_width, sorted_groups
 from .textbytes import SHINGLE_WORDS, shingles, slices, text_buffers
 
 TREES, DEPTH, LEAST = 20, 8, 3
@@ -26,6 +28,10 @@ TREES, DEPTH, LEAST = 20, 8, 3
 REGION, NEAR = 10, 2
 #: Documents of a group that the refused are confirmed against.
 HUBS = 12
+#: Documents of a region are compared in blocks of BLOCK. Of TREES * DEPTH values, a pair at 75 percent agrees in fewer than ALIKE once in millions.
+BLOCK, ALIKE = 512, 92
+#: Partners of a document and block that are tried first, before all of them are.
+BEST = 4
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +73,10 @@ def _signatures(k: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition sorted by (tree, key); the last rows of a batch are carried on."""
+    """Candidate pairs of a partition sorted by (tree, key); the last rows of a batch are carried on.
+
+    A document of a region that isn't compared wholly is also paired with itself.
+    """
     tail_key = np.zeros((0, DEPTH + 1), np.uint16)
     tail_id = np.zeros(0, np.int64)
     for batch in batches:
@@ -90,7 +99,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = i[(region[i] == region[i + step]) & ((size[i] <= REGION) | (step <= NEAR))]
             left.append(ids[i])
             right.append(ids[i + step])
-        a, b = np.concatenate(left), np.concatenate(right)
+        crowd = np.unique(ids[size > REGION])
+        a, b = np.concatenate([*left, crowd]), np.concatenate([*right, crowd])
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
         tail_key, tail_id = key[-REGION:], ids[-REGION:]
 
@@ -143,6 +153,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long, shared long, total long")
 
 
+def _crowd(best: int):
+    """Pairs of different groups of a region whose signatures agree, each in the first tree where both share a region; of a document in a block its `best` partners, or with 0 all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, ["tree", "prefix", "lo", "hi"]):
+            tree, lo, hi = (table[k][0].as_py() for k in ("tree", "lo", "hi"))
+            block, ids, group, minor = (table[k].to_numpy() for k in ("block", "id", "component", "minor"))
+            key = np.frombuffer(b"".join(table["keys"].to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), TREES * DEPTH)
+            a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            open_ = group[a][:, None] != group[b][None, :]
+            if lo == hi:
+                open_ &= ids[a][:, None] < ids[b][None, :]
+            for t in range(tree):
+                x = key[:, t * DEPTH : t * DEPTH + LEAST]
+                open_ &= (x[a][:, None, :] != x[b][None, :, :]).any(2)
+            if not open_.any():
+                continue
+            agree = np.zeros(open_.shape, np.int16)
+            for i in range(TREES * DEPTH):
+                agree += key[a, i][:, None] == key[b, i][None, :]
+            agree[~open_ | (agree < ALIKE)] = 0
+            chosen = agree > 0
+            if best:
+                first = np.zeros_like(chosen)
+                if agree.shape[1]:
+                    np.put_along_axis(first, np.argpartition(-agree, min(best, agree.shape[1]) - 1, 1)[:, :best], True, 1)
+                if minor[b].any():
+                    np.put_along_axis(first, np.argpartition(-agree, min(best, agree.shape[0]) - 1, 0)[:best], True, 0)
+                chosen &= first
+            r, c = np.nonzero(chosen)
+            x, y = ids[a[r]], ids[b[c]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
+def _crowd_pairs(crowd: DataFrame, best: int) -> DataFrame:
+    """Pairs left to confirm among (id, keys, component) of crowded regions. The largest group of a region isn't compared within itself."""
+    step = 2 * DEPTH
+    at = crowd.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("prefix", F.conv(F.hex(F.expr(f"substring(keys, tree * {step} + 1, {2 * LEAST})")), 16, 10).cast("long"))
+    groups = at.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+    regions = groups.where("groups > 1").select("tree", "prefix", F.col("most.component").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("minors"))
+    rows = at.join(regions, ["tree", "prefix"]).withColumn("minor", F.when(F.col("component") != F.col("major"), 1).otherwise(0))
+    rows = rows.withColumn("block", F.expr("cast(if(minor = 1, pmod(xxhash64(id), minors), minors + pmod(xxhash64(id), majors)) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, if(minor = 1, minors + majors, minors) - 1)")))
+    rows = rows.select("tree", "prefix", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "minor", "keys")
+    order = ["tree", "prefix", "lo", "hi"]
+    return rows.repartition(shuffle_width(crowd.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_crowd(best), "a long, b long")
+
+
 def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept (one per component).
 
@@ -162,7 +222,8 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     order = nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "keys")
     order = order.select("id", "tree", F.expr(f"substring(keys, tree * {step} + 1, {step})").alias("key"))
     order = order.repartitionByRange(shuffle_width(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    pairs = settle(order.mapInArrow(_neighbours, "a long, b long").distinct(), "pairs")
+    found = settle(order.mapInArrow(_neighbours, "a long, b long").distinct(), "pairs")
+    pairs, crowd = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = settle(wanted, "wanted")
     bits = spark.sparkContext.broadcast(_filter(wanted))
@@ -186,7 +247,15 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     tries = ends.select(F.col("a").alias("x"), F.col("cb").alias("component")).union(ends.select(F.col("b").alias("x"), F.col("ca").alias("component"))).distinct()
     tries = tries.join(hubs, "component").where("x <> hub").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = settle(_confirmed(tries, sets), "hubs")
-    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(linked).select("a", "b")))
+    final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(linked).select("a", "b"))), "groups")
+    # The likeliest pairs of different groups first: what they join needs no more pairs. Then all that are left.
+    crowded = settle(nodes.join(crowd, "id", "left_semi").select("id", "keys"), "crowd")
+    for best in (BEST, 0):
+        state = crowded.join(final, F.col("id") == F.col("node"), "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
+        left = settle(_crowd_pairs(state, best).join(pairs, ["a", "b"], "left_anti"), "left")
+        more = settle(_confirmed(left, sets).where(linked).select("a", "b"), "crowd_links")
+        if not more.isEmpty():
+            final = settle(components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
     groups = settle(nodes.join(final, F.col("id") == F.col("node"), "left").select("mark", F.coalesce("component", "id").alias("component")), "classes")
     out = signed.join(groups, "mark", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
