@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
 from .trees import BoostedTrees, boost
 
 #: Rules as (verdict, host, path); a rule fits its host and all subdomains, and urls whose path begins with its path.
@@ -21,6 +22,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 BLOCKED_WORDS = ("adult", "bets", "casino", "farm", "gambling", "loans", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "xxx")
 #: Bound of the labelled URLs that the trees are fitted on.
 SAMPLE = 20_000
+#: Suffix tables of up to FEW rows are broadcast; with larger ones the rows are dealt over SALT tasks a suffix.
+FEW, SALT = 50_000, 16
 FEATURES = ("url_length", "host_length", "path_length", "depth", "host_depth", "digits", "host_digits", "hyphens", "entropy", "parameters", "suffix_two", "suffix_three")
 
 
@@ -78,47 +81,57 @@ def seed_label(host: Column) -> Column:
     return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*[F.lit(w) for w in BLOCKED_WORDS])).cast("int")
 
 
+def _with_counts(rows: DataFrame, tables: list[tuple[DataFrame, int]], few: int = FEW) -> DataFrame:
+    """Add blocked and all URLs of each host suffix: two_blocked, two_urls, three_blocked, three_urls; nulls where none was counted."""
+    for labels, name, (table, n) in zip((2, 3), ("two", "three"), tables, strict=True):
+        table = table.select(F.col("suffix").alias("__suffix"), F.col("blocked").alias(f"{name}_blocked"), F.col("urls").alias(f"{name}_urls"))
+        rows = rows.withColumn("__key", suffix(F.col("host"), labels))
+        if n <= few:
+            rows = rows.join(F.broadcast(table), F.col("__key") == F.col("__suffix"), "left")
+        else:  # rows of one host are dealt over SALT tasks
+            table = table.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+            rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)))
+            rows = rows.join(table, (F.col("__key") == F.col("__suffix")) & (F.col("__salt") == F.col("__of")), "left").drop("__salt", "__of")
+        rows = rows.drop("__key", "__suffix")
+    return rows
+
+
 def train(pages: DataFrame, url_col: str = "url", label: Callable[[Column], Column] = seed_label, sample: int = SAMPLE):
-    """Trees and suffix statistics from at most about `sample` labelled URLs, chosen by a hash of the URL.
+    """Trees from at most about `sample` labelled URLs, chosen by a hash, and suffix statistics from all of them.
 
-    The statistics of a URL leave out its own label, so the trees do not learn to trust them blindly.
+    A URL counts once, however many rows have it. The statistics of a URL that the trees
+    learn from leave out its own label, so they do not learn to trust them blindly.
     """
-    host, path = split_url(F.col(url_col))
-    rows = pages.where(F.col(url_col).isNotNull())
-    n = rows.count()
+    host, path = split_url(F.col("url"))
+    urls = settle(pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).distinct().select("url", host.alias("host"), path.alias("path"), label(host).cast("double").alias("y")), "urls")
+    n, blocked = urls.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    prior = float((blocked + 0.5) / (n + 1))
+    tables = []
+    for labels in (2, 3):
+        table = settle(urls.groupBy(suffix(F.col("host"), labels).alias("suffix")).agg(F.sum("y").alias("blocked"), F.count("*").alias("urls")), "suffixes")
+        tables.append((table, table.count()))
     if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(url_col), F.lit(1 << 20)) < sample / n * (1 << 20))
-    features = lexical(F.col(url_col), host, path)
-    table = rows.select(*[c.cast("double").alias(k) for k, c in features.items()], suffix(host, 2).alias("two"), suffix(host, 3).alias("three"), label(host).alias("y")).toArrow()
-    y = table["y"].to_numpy().astype(np.float64) if table.num_rows else np.zeros(0)
-    prior = float((y.sum() + 0.5) / (len(y) + 1))
+        urls = urls.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < sample / n * (1 << 20))
+    features = lexical(F.col("url"), F.col("host"), F.col("path"))
+    counts = ("two_blocked", "two_urls", "three_blocked", "three_urls")
+    table = _with_counts(urls, tables).orderBy("url").select(*[c.cast("double").alias(k) for k, c in features.items()], *[F.col(c).cast("double") for c in counts], "y").toArrow()
+    y = table["y"].to_numpy().astype(np.float64)
     columns = [table[k].to_numpy() for k in features]
-    tables = []
-    for key in ("two", "three"):
-        names = table[key].to_pylist()
-        sums: dict[str, tuple[float, float]] = {}
-        for k, v in zip(names, y.tolist(), strict=True):
-            b, m = sums.get(k, (0.0, 0.0))
-            sums[k] = (b + v, m + 1)
-        columns.append(np.array([(sums[k][0] - v + 2 * prior) / (sums[k][1] - 1 + 2) for k, v in zip(names, y.tolist(), strict=True)]))
-        # what lies near the prior says nothing more than the prior itself does
-        tables.append({k: s for k, s in sums.items() if abs((s[0] + 2 * prior) / (s[1] + 2) - prior) > 0.02})
-    return boost(np.stack(columns, 1) if len(y) else np.zeros((0, len(FEATURES))), y), tables, prior
-
-
-def judge(pages: DataFrame, model: BoostedTrees, tables: list[dict], prior: float, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, threshold: float = 0.5) -> DataFrame:
+    for name in ("two", "three"):
+        columns.append((table[f"{name}_blocked"].to_numpy() - y + 2 * prior) / (table[f"{name}_urls"].to_numpy() - 1 + 2))
+    return boost(np.stack(columns, 1), y), tables, prior
+
+
+def judge(pages: DataFrame, model: BoostedTrees, tables: list[tuple[DataFrame, int]], prior: float, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, threshold: float = 0.5, few: int = FEW) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every URL.
 
     A null URL or one without `://` has empty host and path, fits no rule and is judged by
     the trees; repeated rows each get their result; other columns are not read.
     """
-    spark = pages.sparkSession
     host, path = split_url(F.col(url_col))
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
-    for labels, (name, table) in zip((2, 3), (("suffix_two", tables[0]), ("suffix_three", tables[1])), strict=True):
-        # at most as many rows as the labelled sample has
-        known = spark.createDataFrame([(k, float((b + 2 * prior) / (n + 2))) for k, (b, n) in sorted(table.items())], f"__{name} string, {name} double")
-        rows = rows.join(F.broadcast(known), suffix(F.col("host"), labels) == F.col(f"__{name}"), "left").drop(f"__{name}").withColumn(name, F.coalesce(name, F.lit(prior)))
+    rows = _with_counts(pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path")), tables, few)
+    for name in ("two", "three"):
+        rows = rows.withColumn(f"suffix_{name}", F.coalesce((F.col(f"{name}_blocked") + 2 * prior) / (F.col(f"{name}_urls") + 2), F.lit(prior)))
     for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items():
         rows = rows.withColumn(k, c.cast("double"))
     rows = rows.withColumn("score", model.column([F.col(f) for f in FEATURES]))
