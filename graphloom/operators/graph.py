@@ -71,3 +71,9 @@ def longest_prefix(targets: DataFrame, modules: DataFrame) -> DataFrame:
 def anti_inside(edges: DataFrame, top: str) -> DataFrame:
     """Edges that do not begin under the directory."""
     return edges.where(~((F.col("path") == top) | F.startswith("path", F.lit(top + "/"))))
+
+
+def tests_in_package(files: DataFrame) -> DataFrame:
+    """(test, source): every test file with every other file of its directory and language."""
+    tests = files.where("is_test").select(F.col("path").alias("test"), "dir", "lang")
+    return tests.join(files.select(F.col("path").alias("source"), "dir", "lang"), ["dir", "lang"]).where("test <> source").select("test", "source")

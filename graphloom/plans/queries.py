@@ -98,6 +98,8 @@ _q("agg_group_collect", duck("SELECT path, array_to_string(list_sort(list(DISTIN
 _q("join_symbols_files", duck("SELECT f.lang, count(*) AS n FROM symbols s JOIN files f ON s.path=f.path GROUP BY 1", "symbols", "files"), lambda s, d: rel.symbols(s, d).join(rel.files(s, d).select("path", "lang"), "path").groupBy("lang").agg(F.count("*").alias("n")))
 _q("join_refs_files", duck("SELECT r.path, r.name, r.line FROM refs r JOIN files f ON r.path=f.path WHERE f.is_test", "refs", "files"), lambda s, d: rel.refs(s, d).join(rel.files(s, d).where("is_test").select("path"), "path", "left_semi"))
 _q("join_test_same_package", duck("SELECT t.path AS test, s.path AS source FROM files t JOIN files s ON t.dir=s.dir AND t.path<>s.path WHERE t.is_test AND t.size%50=0", "files"), lambda s, d: rel.files(s, d).where("is_test and size % 50 = 0").select(F.col("path").alias("test"), "dir").join(rel.files(s, d).select(F.col("path").alias("source"), "dir"), "dir").where("test <> source").select("test", "source"))
+# All test files; the query above and its SQL keep one in fifty.
+QUERIES["join_test_same_package_whole"] = lambda s, d: graph.tests_in_package(rel.files(s, d))
 _q("sort_path_components", duck("SELECT dir, row_number() OVER (ORDER BY string_split(dir,'/')) AS place FROM (SELECT DISTINCT dir FROM files)", "files"), lambda s, d: rel.files(s, d).select("dir").distinct().selectExpr("dir", "cast(row_number() over (order by split(dir, '/')) as long) as place"))
 
 # aggregates
