@@ -1,11 +1,11 @@
 """Packing: pieces of documents into sequences of a fixed capacity by multiway differencing.
 
-Full windows of a document are sequences as they are. What is left of each document is cut
-into parts of at most `part` ids and pooled; a pool of a bounded number of ids is divided by
-Karmarkar-Karp multiway differencing: partial partitions whose imbalances oppose each other
-are merged, largest first, until one partition of near-equal windows is left. The number of
-windows starts at the least possible and rises whenever a window exceeds the capacity.
-Pools never leave their task, so nothing is shuffled.
+Full windows of a document are sequences as they are. What is left of each document is
+pooled whole; a pool of a bounded number of ids is divided by Karmarkar-Karp multiway
+differencing: partial partitions whose imbalances oppose each other are merged, largest
+first, until one partition of near-equal windows is left. The number of windows starts at
+the least possible and rises while a window exceeds the capacity; what then still exceeds it
+is cut off and fills the emptiest windows. Pools never leave their task, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -68,34 +68,66 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     return done
 
 
-def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most `capacity`; the fewest for which differencing stays within it."""
+def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Near-equal windows of at most `capacity`, as pieces (item, start in it, length).
+
+    The number of windows starts at the least possible and rises, by one in 64 at most, while
+    differencing leaves a window above the capacity. Only what doesn't fit even then is cut:
+    the end of the longest item of a window that is too full goes to the windows with most room.
+    """
     total = sum(sizes)
-    ways = max(1, -(-total // capacity))
-    while True:
+    least = max(1, -(-total // capacity))
+    for ways in range(least, least + least // 64 + 1):
         found = differencing(sizes, ways)
         if max(sum(sizes[i] for i in w) for w in found) <= capacity:
-            return [w for w in found if w]
-        ways += 1
+            break
+    windows = [[(i, 0, sizes[i]) for i in w] for w in found]
+    loose: list[tuple[int, int, int]] = []
+    rooms: list[tuple[int, int]] = []
+    for k, w in enumerate(windows):
+        over = sum(n for _, _, n in w) - capacity
+        w.sort(key=lambda x: x[2])
+        while over > 0:
+            i, a, n = w.pop()
+            cut = min(over, n)
+            loose.append((i, a + n - cut, cut))
+            if n > cut:
+                w.append((i, a, n - cut))
+            over -= cut
+        if over < 0:
+            rooms.append((over, k))
+    heapq.heapify(rooms)
+    for i, a, n in sorted(loose, key=lambda x: (-x[2], x)):
+        while n:
+            room, k = rooms[0]
+            put = min(n, -room)
+            windows[k].append((i, a, put))
+            a, n = a + put, n - put
+            if room + put:
+                heapq.heapreplace(rooms, (room + put, k))
+            else:
+                heapq.heappop(rooms)
+    return [w for w in windows if w]
 
 
-def _pack(vocabulary: str, capacity: int, end_id: int, part: int, pool_ids: int):
+def _pack(vocabulary: str, capacity: int, end_id: int, pool_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode_all = encoder(vocabulary).encode_all
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
-        pool: list[tuple] = []
+        pool: list[tuple] = []  # document, start, ids, ids of the document
         held = 0
 
         def drain() -> None:
             nonlocal sequence, held
-            for window in windows_of([x[2] for x in pool], capacity):
+            for window in windows_of([len(x[2]) for x in pool], capacity):
                 at = 0
-                for i in sorted(window, key=lambda i: (-pool[i][2], i)):
-                    rows.append((*pool[i], sequence, at))
-                    at += pool[i][2]
+                for i, a, n in sorted(window, key=lambda x: (-x[2], x)):
+                    doc, start, ids, whole = pool[i]
+                    rows.append((doc, start + a, n, zlib.crc32(ids[a : a + n]), whole, sequence, at))
+                    at += n
                 sequence += 1
             pool.clear()
             held = 0
@@ -116,12 +148,9 @@ def _pack(vocabulary: str, capacity: int, end_id: int, part: int, pool_ids: int)
                     for a in range(0, full, capacity):
                         rows.append((doc, a, capacity, zlib.crc32(own[a : a + capacity]), n, sequence, 0))
                         sequence += 1
-                    # parts of a document are near-equal too, so that no pool is left with crumbs
-                    pieces = -(-(n - full) // part)
-                    for j in range(pieces):
-                        a, b = full + (n - full) * j // pieces, full + (n - full) * (j + 1) // pieces
-                        pool.append((doc, a, b - a, zlib.crc32(own[a:b]), n))
-                        held += b - a
+                    if n > full:
+                        pool.append((doc, full, own[full:].copy(), n))
+                        held += n - full
                     if held >= pool_ids:
                         drain()
                 yield batch_of()
@@ -132,7 +161,7 @@ def _pack(vocabulary: str, capacity: int, end_id: int, part: int, pool_ids: int)
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 2048, end_id: int = 1, part: int = 256, pool_ids: int = 256 * 2048) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 2048, end_id: int = 1, pool_ids: int = 256 * 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its whole text (null: empty) and the end id; every id lies in
@@ -140,7 +169,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pack(vocabulary or vocabulary_path(), capacity, end_id, part, pool_ids), SCHEMA)
+    return rows.mapInArrow(_pack(vocabulary or vocabulary_path(), capacity, end_id, pool_ids), SCHEMA)
 
 
 def padding(sequence_length: int, capacity: int = 2048) -> int:

@@ -54,7 +54,9 @@ def _write(vocabulary: str, end_id: int, file_ids: int):
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, file_ids: int = FILE_IDS) -> None:
     """Encode every whole text (null: empty), append end_id, write files in ascending id order (nulls first, equal ids by text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(shuffle_width(docs.sparkSession), "id").sortWithinPartitions("id", F.xxhash64("text"))
+    # the hash deals equal ids, nulls among them, over several ranges
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(shuffle_width(docs.sparkSession), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     rows.mapInArrow(_write(vocabulary or vocabulary_path(), end_id, file_ids), _FILE).write.parquet(path)
 
 
@@ -81,6 +83,8 @@ def read_token_files(spark, path: str) -> DataFrame:
 def token_file_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
     """Write the files to the shared folder, then give what the files hold of every document.
 
+    A file is one binary value of the format that `simple8b` describes, in a table that Spark
+    commits as a whole; `write_file` gives the same bytes for a file of its own.
     Null and empty texts are the end id alone; repeated rows are repeated documents; other
     columns are not read; an empty table gives no files and no rows.
     """

@@ -6,15 +6,18 @@ before it) is encoded on its own; a worker remembers a bounded number of pieces.
 piece is a pre-token of its own, so it is looked up apart from what follows it. Runs not
 met before go to the vocabulary's model many at a time: no merge joins two of them, and
 each begins with an id that holds the space. Texts in which white space meets a space are
-encoded as they are, because there the cut could matter.
+encoded as they are, because there the cut could matter, and so are texts that hold the
+string of an added token, which the library finds before it cuts a text into pre-tokens.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,10 @@ import pyarrow.compute as pc
 
 from .shared import kept
 
-#: Pieces that a worker remembers, in two generations; when the young one is full, the old one is forgotten.
-REMEMBERED = 700_000
+#: Bytes that a worker spends on remembered pieces, in two generations; when the young one is full, the old one is forgotten.
+REMEMBERED = 96 << 20
+#: Bytes of a remembered piece beside its text and its ids: its place in a dict.
+_PLACE = 100
 #: Letters of which every version of Unicode says that they are letters, and runs of them before another ASCII character.
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 _RUN = re.compile(f"([{_LETTERS}]+)([\x00-\x40\x5b-\x60\x7b-\x7f].*)?", re.DOTALL)
@@ -31,7 +36,7 @@ _SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 #: Runs that go to the model at once, and the longest text that is remembered.
 _AT_ONCE, _LONGEST = 64, 64
 #: Bytes of text that are encoded together.
-PORTION = 8 << 20
+PORTION = 2 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -56,10 +61,16 @@ class _Memory:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.half = most // 2
+        self.weighed = self.bytes = 0
 
     def age(self) -> None:
-        if len(self.young) >= self.half:
+        """Weigh what came since the last call; past half of the bound, the young generation becomes the old one."""
+        for text, ids in islice(self.young.items(), self.weighed, None):
+            self.bytes += sys.getsizeof(text) + sys.getsizeof(ids) + _PLACE
+        self.weighed = len(self.young)
+        if self.bytes >= self.half:
             self.young, self.old = {}, self.young
+            self.weighed = self.bytes = 0
 
     def get(self, key: str) -> bytes | None:
         found = self.young.get(key)
@@ -82,8 +93,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced, self.bare = _Memory(remembered), _Memory(remembered // 4)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced, self.bare = _Memory(remembered * 4 // 5), _Memory(remembered // 5)
         # how the vocabulary writes a space and the letters
         written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + c)[0][0] for c in _LETTERS}
         self.alphabet = str.maketrans({c: w[1:] for c, w in written.items()} | {" ": written["A"][0]})
@@ -165,7 +176,8 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         table = split.flatten().dictionary_encode()
         offsets -= offsets[0]
@@ -182,11 +194,13 @@ class Encoder:
         for i, found in zip(wanted, self.pieces([names[i] for i in wanted]), strict=True):
             ids[i] = found
         many = offsets[1:] - offsets[:-1]
-        owner = np.repeat(np.arange(n), many)
+        owner = np.repeat(np.arange(n, dtype=np.int32), many)
         touching = np.zeros(n, bool)
         touching[owner[edged[at] & inner]] = True
+        for token in self.added:
+            touching |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         touching |= np.array([bool(names[i]) and names[i][-1].isspace() for i in at[offsets[:-1]].tolist()]) & (many > 1)
-        # a text in which white space meets a space stands as a whole in place of its first piece
+        # a text in which white space meets a space, or with an added token's string, stands as a whole in place of its first piece
         firsts = [self.plain(texts[d].as_py()) if whole else self._bare(names[i]) if names[i] else b"" for d, (i, whole) in enumerate(zip(at[offsets[:-1]].tolist(), touching.tolist(), strict=True))]
         at[offsets[:-1]] = len(names) + np.arange(n)
         at[touching[owner] & inner] = len(names) + n
@@ -194,13 +208,14 @@ class Encoder:
         ids += [*firsts, b"", np.array([end_id], "<u4").tobytes()]
         # the ids of every different piece once, and from there to each place where the piece stands
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        begins = np.cumsum(sizes) - sizes
-        widths = sizes[at]
-        ends = np.cumsum(widths)
+        kind = np.int32 if int(sizes[at].sum()) + int(sizes.sum()) < 1 << 31 else np.int64
+        begins = (np.cumsum(sizes) - sizes).astype(kind)
+        widths = sizes[at].astype(kind)
+        ends = np.cumsum(widths, dtype=kind)
         place = np.repeat(begins[at] - ends + widths, widths)
-        place += np.arange(len(place))
+        place += np.arange(len(place), dtype=kind)
         last = offsets[1:] + np.arange(n)  # where each text's end id came to lie among the pieces
-        return np.frombuffer(b"".join(ids), "<u4")[place], np.diff(ends[last], prepend=0)
+        return np.frombuffer(b"".join(ids), "<u4")[place], np.diff(ends[last].astype(np.int64), prepend=0)
 
 
 def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:

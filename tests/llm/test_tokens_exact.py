@@ -14,17 +14,21 @@ PARTS = ["a", "b", "The", "'s", "'ll", "don't", "é", "ß", "日本", "Ω", "д"
 
 @pytest.fixture(scope="module")
 def encoder():
-    return tokens.Encoder(tokens.vocabulary_path(), remembered=400)
+    return tokens.Encoder(tokens.vocabulary_path(), remembered=80_000)
 
 
 def test_ids_equal_the_librarys(encoder):
+    from tokenizers import Tokenizer
+
+    witness = Tokenizer.from_file(tokens.vocabulary_path())
+    assert witness.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     r = random.Random(3)
-    texts = [None, "", " ", "a", *("".join(r.choice(PARTS) for _ in range(r.randint(1, 40))) for _ in range(3000))]
+    texts = [None, "", " ", "a", "a <|endoftext|> b", "<|endoftext|>", *("".join(r.choice(PARTS) for _ in range(r.randint(1, 40))) for _ in range(3000))]
     for _ in range(2):  # the second time from memory, a part of which was forgotten
         ids, sizes = encoder.encode_all(pa.array(texts, pa.string()), 7)
         ends = np.cumsum(sizes)
         for text, a, b in zip(texts, (ends - sizes).tolist(), ends.tolist(), strict=True):
-            assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [7]
+            assert ids[a:b].tolist() == witness.encode(text or "", add_special_tokens=False).ids + [7]
 
 
 def test_no_texts(encoder):
