@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (local tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own, but only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("graphloom.shared.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="graphloom-")
             spark.conf.set("graphloom.shared.dir", folder)
     return folder.rstrip("/")
@@ -30,11 +33,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}/{name}"
 
 
+#: Where a settled table lies, by the DataFrame that reads it.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends here and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: all that was made of them must have been settled itself."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Tables of up to FEW rows are broadcast by `lookup`; with larger ones, rows are dealt over SALT tasks a key.
+FEW, SALT = 50_000, 16
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "left", few: int = FEW) -> DataFrame:
+    """`rows` with the columns of `table` that has at most one row for a key, n rows in all; a key of many rows is never gathered in one task."""
+    if n <= few:
+        return rows.join(F.broadcast(table), key, how)
+    wide = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).join(wide, [key, "__salt"], how).drop("__salt")
 
 
 _kept: dict[str, Any] = {}
@@ -147,7 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = settle(large, "large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(down.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = settle(moved.union(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = settle(moved.union(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(now, large)
+        now = after
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
