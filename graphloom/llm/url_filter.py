@@ -1,30 +1,28 @@
 """URL filters: domain rules first, then gradient-boosted trees on lexical features.
 
-The features are lengths, depth, digit ratio, entropy, parameter counts and statistics of
-host suffixes: how often URLs under a suffix are labelled as blocked, smoothed. The trees
-are compiled into a Spark column, so judging a URL stays in the JVM.
+The URLs that a rule decides are the labelled ones: the trees learn from them and judge the
+others. The features are lengths, depth, digit ratio, entropy, parameter counts and
+statistics of host suffixes and of the path's first part: how often labelled URLs with them
+are blocked, smoothed. The trees are compiled into a Spark column, so judging a URL stays in
+the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import FEW, lookup, settle
 from .trees import BoostedTrees, boost
 
 #: Rules as (verdict, host, path); a rule fits its host and all subdomains, and urls whose path begins with its path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Words of host names that mark a URL as blocked in the labelled set.
-BLOCKED_WORDS = ("adult", "bets", "casino", "farm", "gambling", "loans", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "xxx")
-#: Bound of the labelled URLs that the trees are fitted on.
+#: Bound of the labelled URLs that the trees are fitted on, each URL counted once.
 SAMPLE = 20_000
-#: Suffix tables of up to FEW rows are broadcast; with larger ones the rows are dealt over SALT tasks a suffix.
-FEW, SALT = 50_000, 16
-FEATURES = ("url_length", "host_length", "path_length", "depth", "host_depth", "digits", "host_digits", "hyphens", "entropy", "parameters", "suffix_two", "suffix_three")
+#: What statistics are kept of: the last two and three labels of a host, and the first part of a path.
+STATISTICS = ("suffix_two", "suffix_three", "head")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "host_depth", "digits", "host_digits", "hyphens", "entropy", "parameters", *STATISTICS)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -38,12 +36,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
-    """The longest rule that fits, written as host and path, and its verdict; nulls where none fits."""
-    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
-        fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
-        name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, v).otherwise(verdict)
-    return name, verdict
+    """The longest rule that fits, written as host and path, and its verdict; nulls where none fits. The rules are one literal, however many."""
+    table = F.array(*[F.struct(F.lit(len(h) + len(p)).alias("size"), F.lit(h + p).alias("name"), F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    fits = F.filter(table, lambda r: ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"]))
+    best = F.array_max(fits)
+    return best["name"], best["verdict"]
 
 
 def _entropy(text: Column) -> Column:
@@ -76,67 +75,68 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def seed_label(host: Column) -> Column:
-    """1 where a word of the host name is in BLOCKED_WORDS, else 0: the labels of the URLs that the trees learn from."""
-    return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*[F.lit(w) for w in BLOCKED_WORDS])).cast("int")
+def statistic_keys(host: Column, path: Column) -> dict[str, Column]:
+    return {"suffix_two": suffix(host, 2), "suffix_three": suffix(host, 3), "head": F.regexp_extract(path, r"^/?([^/]*)", 1)}
 
 
-def _with_counts(rows: DataFrame, tables: list[tuple[DataFrame, int]], few: int = FEW) -> DataFrame:
-    """Add blocked and all URLs of each host suffix: two_blocked, two_urls, three_blocked, three_urls; nulls where none was counted."""
-    for labels, name, (table, n) in zip((2, 3), ("two", "three"), tables, strict=True):
-        table = table.select(F.col("suffix").alias("__suffix"), F.col("blocked").alias(f"{name}_blocked"), F.col("urls").alias(f"{name}_urls"))
-        rows = rows.withColumn("__key", suffix(F.col("host"), labels))
-        if n <= few:
-            rows = rows.join(F.broadcast(table), F.col("__key") == F.col("__suffix"), "left")
-        else:  # rows of one host are dealt over SALT tasks
-            table = table.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-            rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)))
-            rows = rows.join(table, (F.col("__key") == F.col("__suffix")) & (F.col("__salt") == F.col("__of")), "left").drop("__salt", "__of")
-        rows = rows.drop("__key", "__suffix")
-    return rows
+def _with_statistics(rows: DataFrame, tables: dict[str, tuple[DataFrame, int]], few: int) -> DataFrame:
+    """Add blocked and all labelled URLs for each key of a row: <name>_blocked, <name>_urls; 0 where none was labelled."""
+    keys = statistic_keys(F.col("host"), F.col("path"))
+    for name, (table, n) in tables.items():
+        table = table.select(F.col("key").alias("__key"), F.col("blocked").alias(f"{name}_blocked"), F.col("urls").alias(f"{name}_urls"))
+        rows = lookup(rows.withColumn("__key", keys[name]), table, "__key", n, "left", few).drop("__key")
+    return rows.na.fill(0.0, [f"{n}_{x}" for n in tables for x in ("blocked", "urls")])
 
 
-def train(pages: DataFrame, url_col: str = "url", label: Callable[[Column], Column] = seed_label, sample: int = SAMPLE):
-    """Trees from at most about `sample` labelled URLs, chosen by a hash, and suffix statistics from all of them.
+def train(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, sample: int = SAMPLE, few: int = FEW) -> tuple[BoostedTrees, dict[str, tuple[DataFrame, int]], float]:
+    """Trees from at most about `sample` of the URLs that a rule decides, chosen by a hash, and statistics of all of them.
 
-    A URL counts once, however many rows have it. The statistics of a URL that the trees
-    learn from leave out its own label, so they do not learn to trust them blindly.
+    A URL counts once, however many rows have it. The trees learn from no more than half of
+    the labelled URLs, with statistics of the others, so that no label shows in its own
+    features; judging takes the statistics of all. Without any labelled URL, the score is 0
+    and the method allows.
     """
     host, path = split_url(F.col("url"))
-    urls = settle(pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).distinct().select("url", host.alias("host"), path.alias("path"), label(host).cast("double").alias("y")), "urls")
+    ruled = rule_of(F.col("host"), F.col("path"), rules)[1]
+    urls = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).select("url", host.alias("host"), path.alias("path"))
+    urls = settle(urls.withColumn("y", (ruled == "block").cast("double")).where("y is not null").distinct(), "urls")
     n, blocked = urls.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    prior = float((blocked + 0.5) / (n + 1))
-    tables = []
-    for labels in (2, 3):
-        table = settle(urls.groupBy(suffix(F.col("host"), labels).alias("suffix")).agg(F.sum("y").alias("blocked"), F.count("*").alias("urls")), "suffixes")
-        tables.append((table, table.count()))
-    if n > sample:
-        urls = urls.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < sample / n * (1 << 20))
+    prior = float((blocked + 0.5) / (n + 1)) if n else 0.0
+    share = min(0.5, sample / n) if n else 0.0
+    urls = urls.withColumn("picked", F.pmod(F.xxhash64("url", F.lit("trees")), F.lit(1 << 20)) < share * (1 << 20))
+    tables, others = {}, {}
+    for name, key in statistic_keys(F.col("host"), F.col("path")).items():
+        rest = F.when(F.col("picked"), 0.0).otherwise(1.0)
+        table = settle(urls.groupBy(key.alias("key")).agg(F.sum("y").alias("blocked"), F.count("*").cast("double").alias("urls"), F.sum(rest * F.col("y")).alias("other_blocked"), F.sum(rest).alias("other_urls")), name)
+        m = table.count()
+        tables[name] = table.select("key", "blocked", "urls"), m
+        others[name] = table.select("key", F.col("other_blocked").alias("blocked"), F.col("other_urls").alias("urls")), m
     features = lexical(F.col("url"), F.col("host"), F.col("path"))
-    counts = ("two_blocked", "two_urls", "three_blocked", "three_urls")
-    table = _with_counts(urls, tables).orderBy("url").select(*[c.cast("double").alias(k) for k, c in features.items()], *[F.col(c).cast("double") for c in counts], "y").toArrow()
+    counts = [f"{name}_{x}" for name in others for x in ("blocked", "urls")]
+    table = _with_statistics(urls.where("picked"), others, few).orderBy("url").select(*[c.cast("double").alias(k) for k, c in features.items()], *counts, "y").toArrow()
     y = table["y"].to_numpy().astype(np.float64)
     columns = [table[k].to_numpy() for k in features]
-    for name in ("two", "three"):
-        columns.append((table[f"{name}_blocked"].to_numpy() - y + 2 * prior) / (table[f"{name}_urls"].to_numpy() - 1 + 2))
+    columns += [(table[f"{name}_blocked"].to_numpy() + 2 * prior) / (table[f"{name}_urls"].to_numpy() + 2) for name in others]
     return boost(np.stack(columns, 1), y), tables, prior
 
 
-def judge(pages: DataFrame, model: BoostedTrees, tables: list[tuple[DataFrame, int]], prior: float, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, threshold: float = 0.5, few: int = FEW) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every URL.
+def judge(pages: DataFrame, model: BoostedTrees, tables: dict[str, tuple[DataFrame, int]], prior: float, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, threshold: float = 0.5, few: int = FEW) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every URL; the score is the trees', rule or not.
 
     A null URL or one without `://` has empty host and path, fits no rule and is judged by
-    the trees; repeated rows each get their result; other columns are not read.
+    the trees; repeated rows each get their result; URLs are read whole, however long; other
+    columns are not read; an empty table gives no rows.
     """
     host, path = split_url(F.col(url_col))
-    rows = _with_counts(pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path")), tables, few)
-    for name in ("two", "three"):
-        rows = rows.withColumn(f"suffix_{name}", F.coalesce((F.col(f"{name}_blocked") + 2 * prior) / (F.col(f"{name}_urls") + 2), F.lit(prior)))
+    rows = _with_statistics(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path")), tables, few)
+    for name in tables:
+        rows = rows.withColumn(name, (F.col(f"{name}_blocked") + 2 * prior) / (F.col(f"{name}_urls") + 2))
     for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items():
         rows = rows.withColumn(k, c.cast("double"))
-    rows = rows.withColumn("score", model.column([F.col(f) for f in FEATURES]))
+    score = model.column([F.col(f) for f in FEATURES]) if prior else F.lit(0.0)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
+    rows = rows.withColumn("score", score)
+    return rows.select(F.col("page_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > threshold, "block").otherwise("allow")).alias("verdict"), "score")
 
 
 def url_verdicts(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm import language_id, mixing, packing, quality_rules, recurrent_lm, url_filter, winnowing
+from graphloom.llm import language_id, mixing, packing, quality_rules, recurrent_lm, winnowing
 from graphloom.llm.embedding_dedup import near_duplicate_vectors
 from graphloom.llm.minhash_dedup import near_duplicate_documents
 from graphloom.llm.simple8b import read_file, write_file
@@ -239,17 +239,6 @@ def test_quality(spark, odd, docs):
     assert quality_rules.quality_of(odd.where("false"), labels).count() == 0
 
 
-def test_urls(spark):
-    urls = ["http://A.Example.org/es/x?q", "https://example.org/en/12", "http://shop.com/fr/", "http://x.com/de", "ftp://h.net", "no scheme", None, "http://my.casino-win.example.net/en/1", "http://plain.example.net/en/2#t"] + [f"http://h{i}.example.net/en/{i}" for i in range(40)] + [f"http://c{i}.casino-win.example.net/en/{i}" for i in range(20)]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: r for r in url_filter.url_verdicts(df).collect()}
-    assert (got[0]["host"], got[0]["path"], got[0]["rule"], got[0]["verdict"]) == ("a.example.org", "/es/x", "example.org/es/", "block")
-    assert got[1]["rule"] == "example.org/en/1" and got[2]["rule"] == "com/fr/" and got[3]["rule"] is None
-    assert (got[5]["host"], got[6]["host"], got[6]["path"]) == ("", "", "")
-    assert got[7]["verdict"] == "block" and got[8]["verdict"] == "allow"
-    assert url_filter.url_verdicts(df.where("false")).count() == 0
-
-
 def test_fingerprints(odd, docs):
     rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
     got = {r["doc_id"]: r for r in winnowing.fingerprints(docs).collect()}
