@@ -15,14 +15,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import discard, lookup, settle
 
 #: Fixed values of the example tree: domain of a source, and weights. What is not named weighs 1.
 DOMAINS = {"web": ("src0", "src1", "src2", "src3", "src4", "src5"), "books": ("src6", "src7", "src8", "src9"), "forums": ("src10", "src11", "src12", "src13", "src14"), "reference": ("src15", "src16", "src17", "src18", "src19")}
-WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("forums",): 1.0, ("reference",): 2.0}
-BUCKETS = 4096
-#: Leaves up to which a table with a row for each is broadcast.
-SMALL = 100_000
+WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("forums",): 1.0, ("reference",): 2.0, ("web", "en"): 2.0, ("books", "en"): 2.0, ("web", "en", "src0"): 0.5, ("reference", "en", "src15"): 3.0}
+#: A leaf's order is cut into COARSE * FINE buckets.
+COARSE, FINE = 64, 64
 
 
 def domain_of(source: Column, domains: Mapping[str, tuple] = DOMAINS) -> Column:
@@ -84,17 +83,30 @@ def mix(
     seeded order (md5 of seed, epoch, id) whose tokens fit the budget is taken, so a budget is
     never exceeded. Nulls of a level are a leaf of their own. Documents without tokens cost
     nothing and come where their place in the order is within the prefix. Repeated rows of an
-    id are each counted and taken together. An empty table gives an empty result.
+    id are each counted and taken together. Columns of the documents that are named like an
+    added one give way to it. An empty table gives an empty result.
 
-    A leaf's order is cut into hash buckets that are summed before they are moved; only the
-    bucket in which the budget runs out is ordered, so no leaf is gathered in one task.
+    The driver holds the tree, one row per leaf. A leaf's order is cut into hash buckets that
+    are summed before they are moved, first 64 of them and then 64 in the one where the budget
+    runs out; only the bucket in which it does is ordered, so no leaf is gathered in one task.
     """
-    names = [f"__level{i}" for i in range(len(levels))]
-    rows = docs.withColumns({n: c.cast("string") for n, c in zip(names, levels.values(), strict=True)}).withColumn("__tokens", tokens if tokens is not None else word_count(F.col("text")))
+    added = ("epoch", "n_tokens", "leaf_budget")
+    own = [c for c in docs.columns if c not in added]
+    return chosen_rows(docs, levels, share, epochs, weights, seed, id_col, tokens).select(*[F.col(f"row.`{c}`").alias(c) for c in own], *added)
+
+
+def chosen_rows(
+    docs: DataFrame, levels: Mapping[str, Column], share: float, epochs: float, weights: Mapping[tuple, float] = WEIGHTS, seed: str = "mix",
+    id_col: str = "doc_id", tokens: Column | None = None,
+) -> DataFrame:
+    """As `mix`, with the document as one column `row`, whatever its columns are named."""
+    names = [f"level{i}" for i in range(len(levels))]
+    tokens = tokens if tokens is not None else word_count(F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *[c.cast("string").alias(n) for n, c in zip(names, levels.values(), strict=True)], tokens.alias("n"))
     # a leaf's key is one string, null-safe: lengths keep parts apart
-    rows = rows.withColumn("__leaf", F.concat_ws("/", *[F.concat(F.coalesce(F.length(n).cast("string"), F.lit("n")), F.lit(":"), F.coalesce(n, F.lit(""))) for n in names]))
-    light = settle(rows.select(F.col(id_col).alias("id"), "__leaf", *names, F.col("__tokens").alias("n")), "mix")
-    leaves = [(tuple(r[n] for n in names), r["__leaf"], float(r["n"])) for r in light.groupBy("__leaf", *names).agg(F.sum("n").alias("n")).collect()]
+    rows = rows.withColumn("leaf", F.concat_ws("/", *[F.concat(F.coalesce(F.length(n).cast("string"), F.lit("n")), F.lit(":"), F.coalesce(n, F.lit(""))) for n in names]))
+    light = settle(rows.select("id", "leaf", *names, "n"), "mix")
+    leaves = [(tuple(r[n] for n in names), r["leaf"], float(r["n"])) for r in light.groupBy("leaf", *names).agg(F.sum("n").alias("n")).collect()]
     budgets = leaf_budgets([(p, t) for p, _, t in leaves], share * sum(t for _, _, t in leaves), weights, epochs)
     plan = []
     for path, key, available in leaves:
@@ -102,23 +114,32 @@ def mix(
         whole = int(budget // available) if available else 0
         for e in range(whole + 1):
             plan.append((key, e, None if e < whole else int(budget - whole * available), budget))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(plan, "__leaf string, epoch int, part long, leaf_budget long")
+    table = docs.sparkSession.createDataFrame(plan, "leaf string, epoch int, part long, leaf_budget long")
+    # one row a leaf holds all its epochs, so a row of `light` finds one row
+    by_leaf = table.groupBy("leaf").agg(F.collect_list(F.struct("epoch", "part", "leaf_budget")).alias("epochs"))
+    planned = lookup(light.select("id", "leaf", "n"), by_leaf, "leaf", len(leaves), "inner").select("id", "leaf", "n", F.explode("epochs").alias("e")).select("id", "leaf", "n", "e.*")
     place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    partial = light.join(table.where("part is not null"), "__leaf").withColumn("place", place).withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
-    sums = partial.groupBy("__leaf", "part", "bucket").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("__leaf").orderBy("bucket")
-    edge = sums.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("fits", F.col("before") + F.col("n") <= F.col("part"))
+    partial = planned.where("part is not null").withColumn("place", place).withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
+    sums = settle(partial.groupBy("leaf", "part", "bucket").agg(F.sum("n").alias("n")), "buckets")
+    upto = Window.partitionBy("leaf").orderBy("coarse")
+    coarse = sums.groupBy("leaf", "part", F.floor(F.col("bucket") / FINE).cast("int").alias("coarse")).agg(F.sum("n").alias("n"))
+    coarse = coarse.withColumn("before", F.sum("n").over(upto) - F.col("n")).where("before + n > part")
+    coarse = coarse.groupBy("leaf").agg(F.min(F.struct("coarse", "before")).alias("first")).select("leaf", F.col("first.coarse").alias("coarse"), F.col("first.before").alias("before"))
+    fine = lookup(sums, coarse, "leaf", len(leaves), "inner").where(F.floor(F.col("bucket") / FINE) == F.col("coarse"))
+    fine = fine.withColumn("start", F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("bucket")) - F.col("n")).where("start + n > part")
     # the first bucket that does not fit, if any
-    edge = edge.where("not fits").groupBy("__leaf").agg(F.min(F.struct("bucket", "before")).alias("edge")).select("__leaf", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))
-    # one row for each leaf, and the leaves were counted above: within the bound no leaf is moved to one place
-    marked = partial.join(F.broadcast(edge) if len(leaves) <= SMALL else edge, "__leaf", "left")
-    cut = marked.where("bucket = edge").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("__leaf").orderBy("place"))).where("upto <= part").select("__leaf", "id", "epoch", "leaf_budget")
-    taken = marked.where("edge is null or bucket < edge").select("__leaf", "id", "epoch", "leaf_budget").union(cut)
-    whole = light.join(table.where("part is null"), "__leaf").select("__leaf", "id", "epoch", "leaf_budget")
-    chosen = settle(whole.union(taken).distinct(), "chosen").withColumnsRenamed({"__leaf": "__chosen_leaf", "id": "__chosen"})
-    out = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("__chosen")) & (F.col("__leaf") == F.col("__chosen_leaf")))
-    return out.select(*docs.columns, "epoch", F.col("__tokens").alias("n_tokens"), "leaf_budget")
+    edge = fine.groupBy("leaf").agg(F.min(F.struct("bucket", "start")).alias("first")).select("leaf", F.col("first.bucket").alias("edge"), F.col("first.start").alias("before"))
+    edge = settle(edge, "edges")
+    marked = lookup(partial, edge, "leaf", len(leaves))
+    cut = marked.where("bucket = edge").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("place"))).where("upto <= part").select("leaf", "id", "epoch", "leaf_budget")
+    taken = marked.where("edge is null or bucket < edge").select("leaf", "id", "epoch", "leaf_budget").union(cut)
+    whole = planned.where("part is null").select("leaf", "id", "epoch", "leaf_budget")
+    # an id that stands in many rows of a leaf is chosen once an epoch; its epochs are one row
+    chosen = whole.union(taken).distinct().groupBy("leaf", "id").agg(F.sort_array(F.collect_list(F.struct("epoch", "leaf_budget"))).alias("epochs"))
+    chosen = settle(chosen.select(F.col("leaf").alias("of_leaf"), F.col("id").alias("of_id"), "epochs"), "chosen")
+    discard(light, sums, edge)
+    out = rows.select("row", "id", "leaf", "n").join(chosen, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("leaf") == F.col("of_leaf")))
+    return out.select("row", F.col("n").alias("n_tokens"), F.explode("epochs").alias("e")).select("row", "e.epoch", "n_tokens", "e.leaf_budget")
 
 
 def source_levels() -> dict[str, Column]:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.llm import language_id, mixing, packing, quality_rules, recurrent_lm, winnowing
 from graphloom.llm.embedding_dedup import near_duplicate_vectors
@@ -217,6 +218,10 @@ def test_mixing(odd, docs):
                 break
     assert {(r["doc_id"], r["epoch"]) for r in rows if r["n_tokens"]} == {(i, e) for i, e in want if n[i]}
     mixing.mix(odd, mixing.source_levels()).collect()
+    clash = odd.selectExpr("doc_id", "text", "lang", "source", "7 as epoch", "'x' as leaf_budget", "1.5 as n_tokens", "8 as level0", "9 as row", "10 as leaf", "11 as n")
+    named = mixing.mix(clash, mixing.source_levels(), share=1.0, epochs=1.0).collect()
+    assert len(named) == len(ODD) and {r["epoch"] for r in named} == {0} and {r["leaf"] for r in named} == {10}
+    assert mixing.mix(odd.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}), mixing.source_levels(), share=1.0, epochs=1.0).count() == len(ODD)
     assert mixing.mix(odd.where("false"), mixing.source_levels()).count() == 0
 
 
