@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_id, mixing, packing, quality_rules, recurrent_lm, winnowing
+from graphloom.llm import language_id, mixing, packing, quality_rules, recurrent_lm
 from graphloom.llm.embedding_dedup import near_duplicate_vectors
 from graphloom.llm.minhash_dedup import near_duplicate_documents
 from graphloom.llm.simple8b import read_file, write_file
@@ -244,24 +244,6 @@ def test_quality(spark, odd, docs):
     assert quality_rules.quality_of(odd.where("false"), labels).count() == 0
 
 
-def test_fingerprints(odd, docs):
-    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
-    got = {r["doc_id"]: r for r in winnowing.fingerprints(docs).collect()}
-    for i, r in enumerate(rows):
-        text, after = r["text"] or "", rows[(i + 1) % len(rows)]["text"] or ""
-        q = len(text) // 4
-        edited = text[: len(text) - q] + after[:q]
-        assert got[r["doc_id"]]["n_chars"] == len(text) and got[r["doc_id"]]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        w = [x for x in WORDS.findall(text)]
-        marks = [int(x.split("@")[1]) for x in got[r["doc_id"]]["fingerprint"].split()]
-        if len(w) >= winnowing.GRAM + winnowing.WINDOW - 1:  # no window without a mark
-            edges = [-1, *marks, len(w) - winnowing.GRAM + 1]
-            assert max(b - a for a, b in zip(edges[:-1], edges[1:], strict=True)) <= winnowing.WINDOW
-    found = winnowing.fingerprints(odd).collect()
-    assert len(found) == len(ODD) and len({r["fingerprint"] for r in found if r["doc_id"] in (6, 7)}) == 1
-    assert winnowing.fingerprints(odd.where("false")).count() == 0
-
-
 def test_language_model(odd, docs):
     import math
 
