@@ -1,14 +1,16 @@
 """MinHash near-dedup with an LSH forest.
 
-A document's set holds its distinct 5-word shingles. `trees` sorted orders of signatures of
-`depth` min-hash values each are scanned; neighbours whose signatures share a prefix of at
-least `least` values are candidates. Where few documents share the prefix, all of them are
-compared; in a crowded region the scan goes as deep as the order does and takes each
-document's nearest neighbours by longest common prefix. Candidates are confirmed on full
-sets. A crowd can hang on one text that its members resemble more than each other, so a
-document refused by a member of a group is also confirmed against the hubs of that group.
-What a crowded region still holds in different groups is then compared pair by pair: whole
-signatures in blocks, and full sets where those agree as alike documents do.
+A document's set holds its distinct 5-word shingles. TREES sorted orders of signatures of
+DEPTH min-hash values each are scanned; neighbours whose signatures share a prefix of at
+least LEAST values are candidates. The depth adapts to the region: while more than REGION
+documents share a prefix it grows by one value, and at the depth where at most REGION do, all
+of them are compared; documents that even DEPTH values don't part are compared with the next
+NEAR in order. Candidates are confirmed on full sets. So far nothing but the order decides, and a
+crowded region may hide pairs that part early. They come in two steps: a document refused by a
+member of a group is confirmed against the hubs of that group, which joins most of a crowd
+cheaply; then whatever a region of more than REGION documents still holds in different groups
+is compared pair by pair, with no bound on partners: whole signatures in blocks, and full
+sets where those agree as alike documents do.
 """
 
 from __future__ import annotations
@@ -17,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, release, settle, shuffle_width, sorted_groups
+from .shared import components, discard, lookup, release, settle, shuffle_width, sorted_groups
 from .textbytes import SHINGLE_WORDS, shingles, slices, text_buffers
 
 TREES, DEPTH, LEAST = 20, 8, 3
-#: Regions of up to this many documents are compared wholly; in larger ones, the next NEAR in order.
+#: Regions of up to this many documents are compared wholly; larger ones deeper in the order, and at its end the next NEAR.
 REGION, NEAR = 10, 2
-#: Documents of a group that the refused are confirmed against.
-HUBS = 12
+#: Documents of a group that the refused are confirmed against before the pairs that are left, and parts of a group they come from.
+HUBS, PARTS = 12, 64
+#: Pairs of one document that meet in a task; the pairs of a hub are dealt over more.
+HOT = 512
 #: Documents of a region are compared in blocks of BLOCK. Of TREES * DEPTH values, a pair at 75 percent agrees in fewer than ALIKE once in millions.
 BLOCK, ALIKE = 512, 92
 #: Partners of a document and block that are tried first, before all of them are.
@@ -48,7 +52,17 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         np.minimum(least, x.min(0), out=least)
-    return (least >> np.uint32(5)).astype(np.uint16)
+    # the least value of a large set is small, so a code takes from all of its bits
+    least ^= least >> np.uint32(16)
+    least *= np.uint32(0x7FEB352D)
+    least ^= least >> np.uint32(15)
+    return (least * np.uint32(0x846CA68B) >> np.uint32(16)).astype(np.uint16)
+
+
+def mark_of(shingle_hashes: np.ndarray) -> bytes:
+    """17 bytes that tell sets apart."""
+    s = shingle_hashes
+    return (int(s.sum(dtype=np.uint64)) ^ (len(s) << 1)).to_bytes(9, "big") + int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))).to_bytes(8, "big")
 
 
 def _signatures(k: int):
@@ -62,7 +76,7 @@ def _signatures(k: int):
                 for s in shingles(data, offsets[lo : hi + 1], k):
                     sizes.append(len(s))
                     if len(s):
-                        marks.append((int(s.sum(dtype=np.uint64)) ^ (len(s) << 1)).to_bytes(9, "big") + int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))).to_bytes(8, "big"))
+                        marks.append(mark_of(s))
                         keys.append(signature(s, a, b).astype(">u2").tobytes())
                     else:
                         marks.append(None)
@@ -72,37 +86,110 @@ def _signatures(k: int):
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition sorted by (tree, key); the last rows of a batch are carried on.
+_PAIRS = "a long, b long, border int, place long, id long, tree int, key binary"
+
 
-    A document of a region that isn't compared wholly is also paired with itself.
+def region_pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of the rows of one sorted region (n x DEPTH codes), and its rows if it is crowded.
+
+    A region of up to REGION rows gives all its pairs; a larger one is cut where the next value
+    changes. What is left at the end of the order gives each row's next NEAR.
     """
-    tail_key = np.zeros((0, DEPTH + 1), np.uint16)
-    tail_id = np.zeros(0, np.int64)
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
+    n = len(key)
+    left, right = [], []
+    open_ = [(0, n, LEAST)]
+    while open_:
+        a, b, depth = open_.pop()
+        size = b - a
+        if size < 2:
+            continue
+        if size <= REGION or depth == DEPTH:
+            steps = size if size <= REGION else NEAR + 1
+            for step in range(1, steps):
+                i = np.arange(a, b - step)
+                left.append(i)
+                right.append(i + step)
             continue
-        key = np.empty((n, DEPTH + 1), np.uint16)
-        key[:, 0] = batch.column("tree").to_numpy()
-        key[:, 1:] = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(n, DEPTH)
-        fresh = len(tail_id)
-        key, ids = np.concatenate([tail_key, key]), np.concatenate([tail_id, batch.column("id").to_numpy()])
-        same = np.cumprod(key[1:] == key[:-1], axis=1).sum(1)  # equal leading values of rows i and i + 1, the tree's among them
-        joined = same > LEAST
-        start = np.concatenate([[True], ~joined])
-        region = np.cumsum(start) - 1
-        size = np.bincount(region)[region]
-        left, right = [], []
-        for step in range(1, REGION):
-            i = np.arange(max(0, fresh - step), len(ids) - step)
-            i = i[(region[i] == region[i + step]) & ((size[i] <= REGION) | (step <= NEAR))]
-            left.append(ids[i])
-            right.append(ids[i + step])
-        crowd = np.unique(ids[size > REGION])
-        a, b = np.concatenate([*left, crowd]), np.concatenate([*right, crowd])
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-        tail_key, tail_id = key[-REGION:], ids[-REGION:]
+        cuts = [a, *(np.flatnonzero(key[a + 1 : b, depth] != key[a : b - 1, depth]) + a + 1).tolist(), b]
+        open_ += [(x, y, depth + 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left) if left else none, np.concatenate(right) if right else none, np.arange(n) if n > REGION else none
+
+
+def _neighbours(borders: bool):
+    """Candidate pairs of a partition sorted by (tree, key); a document of a crowded region is also paired with itself.
+
+    With `borders`, the first and the last REGION rows are given too, for regions that reach
+    into the next partition. Regions of any size are cut at CHUNK rows; a cut is one more border of a crowd.
+    """
+    chunk = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        here = TaskContext.get().partitionId()
+        names = [f.split()[0] for f in _PAIRS.split(", ")]
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
+
+        def edge(rows: list[tuple], border: int, after: int) -> pa.RecordBatch:
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([border] * n, pa.int32()), pa.array([p + after for p, *_ in rows], pa.int64()), pa.array([i for _, i, _, _ in rows], pa.int64()), pa.array([t for *_, t, _ in rows], pa.int32()), pa.array([k for *_, k in rows], pa.binary())], names=names)
+
+        held_key, held_id = np.zeros((0, DEPTH + 1), np.uint16), np.zeros(0, np.int64)
+        place, first, last = 0, [], []
+
+        def regions(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = [0, *(np.flatnonzero((key[1:, : LEAST + 1] != key[:-1, : LEAST + 1]).any(1)) + 1).tolist(), len(ids)]
+            left, right = [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a == 2:
+                    left.append(ids[a : a + 1])
+                    right.append(ids[a + 1 : b])
+                elif b - a > 2:
+                    i, j, crowd = region_pairs(key[a:b, 1:])
+                    left += [ids[a + i], ids[a + crowd]]
+                    right += [ids[a + j], ids[a + crowd]]
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                yield pairs(x, y)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            trees, blobs, ids = batch.column("tree").to_pylist(), batch.column("key").to_pylist(), batch.column("id").to_numpy()
+            key = np.empty((n, DEPTH + 1), np.uint16)
+            key[:, 0] = trees
+            key[:, 1:] = np.frombuffer(b"".join(blobs), ">u2").reshape(n, DEPTH)
+            if borders:
+                rows = lambda a, b, at=place, i=ids, t=trees, k=blobs: [(at + x, int(i[x]), t[x], k[x]) for x in range(a, b)]
+                first += rows(0, min(n, REGION - len(first)))
+                last = [*last, *rows(max(0, n - REGION), n)][-REGION:]
+                place += n
+            if len(held_id):
+                key, ids = np.concatenate([held_key, key]), np.concatenate([held_id, ids])
+            # the last region may go on in the next batch
+            change = np.flatnonzero((key[1:, : LEAST + 1] != key[:-1, : LEAST + 1]).any(1))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if len(ids) - cut > chunk:
+                yield from regions(key, ids)
+                cut = len(ids) - REGION - 1  # known to be crowded: enough rows go on to show it
+                held_key, held_id = key[cut:], ids[cut:]
+                continue
+            if cut:
+                yield from regions(key[:cut], ids[:cut])
+            held_key, held_id = key[cut:], ids[cut:]
+        if len(held_id):
+            yield from regions(held_key, held_id)
+        if borders:
+            yield edge(last, here, 0)
+            if here:
+                yield edge(first, here - 1, 1 << 40)
+
+    return run
 
 
 #: Bits of the filter that spares most texts without candidates a second look: 2 MB, whatever the input.
@@ -120,7 +207,7 @@ def _filter(ids: DataFrame) -> bytes:
 
 
 def _sets(k: int, bits):
-    """The sets of rows whose id the filter may hold. The hash is Spark's own, so it comes as a column."""
+    """The sets and their marks of rows whose id the filter may hold. The hash is Spark's own, so it comes as a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -130,8 +217,12 @@ def _sets(k: int, bits):
             hit = (table[(h % FILTER_BITS) // 64] >> (h % 64)) & 1
             likely = batch.filter(pa.array(hit.astype(bool)))
             data, offsets = text_buffers(likely.column("text"))
-            out = [s.tobytes() for lo, hi in slices(offsets) for s in shingles(data, offsets[lo : hi + 1], k)]
-            yield pa.RecordBatch.from_arrays([likely.column("id"), pa.array(out, pa.binary())], names=["id", "set"])
+            out, marks = [], []
+            for lo, hi in slices(offsets):
+                for s in shingles(data, offsets[lo : hi + 1], k):
+                    out.append(s.tobytes())
+                    marks.append(mark_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([likely.column("id"), pa.array(marks, pa.binary()), pa.array(out, pa.binary())], names=["id", "mark", "set"])
 
     return run
 
@@ -147,10 +238,22 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """The pairs with the set of one end. Pairs of an end that stands in more than HOT of them are dealt over several tasks, each with a copy of its set."""
+    named = sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"))
+    hot = settle(pairs.groupBy(end).count().where(F.col("count") > HOT).select(end, F.ceil(F.col("count") / HOT).cast("int").alias("tasks")), "hot")
+    n = hot.count()
+    if not n:
+        return pairs.join(named, end)
+    other = next(c for c in ("a", "b") if c != end)
+    dealt = lookup(pairs, hot, end, n).na.fill({"tasks": 1}).withColumn("task", F.pmod(F.xxhash64(other), F.col("tasks")).cast("int")).drop("tasks")
+    copies = lookup(named, hot, end, n).na.fill({"tasks": 1}).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    return dealt.join(copies, [end, "task"]).drop("task")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long, shared long, total long")
+    both = _with_set(_with_set(pairs, sets, "a"), sets, "b")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long, shared long, total long")
 
 
 def _crowd(best: int):
@@ -210,25 +313,33 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     100 * intersection >= percent * union are linked. Texts with fewer than k words are one
     shingle; null texts and texts without words have none and link with nothing. Equal sets
     are one node, so copies cost no pairs. A null id links with nothing and isn't kept;
-    repeated ids count as one document by their first text. Other columns are not read; an
-    empty table gives an empty result.
+    repeated ids count as one document, by the least mark of their sets' (n_shingles is each
+    row's own). Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = settle(rows.mapInArrow(_signatures(k), "id long, n_shingles long, mark binary, keys binary"), "signatures")
-    nodes = signed.where("mark is not null and id is not null").groupBy("mark").agg(F.min(F.struct("id", "keys")).alias("first")).select("mark", "first.*")
+    # an id that stands in several rows is one document, by the least of its marks
+    repeated = settle(signed.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.min("mark").alias("least")).where("rows > 1").select("id", "least"), "repeated")
+    n_repeated = repeated.count()
+    marked = lookup(signed, repeated, "id", n_repeated).withColumn("by", F.coalesce("least", "mark")).drop("least") if n_repeated else signed.withColumn("by", F.col("mark"))
+    nodes = marked.where("mark is not null and id is not null and mark = by").groupBy("mark").agg(F.min(F.struct("id", "keys")).alias("first")).select("mark", "first.*")
     nodes = settle(nodes, "nodes")
     step = 2 * DEPTH
     order = nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "keys")
     order = order.select("id", "tree", F.expr(f"substring(keys, tree * {step} + 1, {step})").alias("key"))
     order = order.repartitionByRange(shuffle_width(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found = settle(order.mapInArrow(_neighbours, "a long, b long").distinct(), "pairs")
+    near = settle(order.mapInArrow(_neighbours(True), _PAIRS), "near")
+    edges = near.where("border is not null").select("border", "place", "id", "tree", "key").repartition(shuffle_width(spark), "border").sortWithinPartitions("border", "place")
+    across = edges.mapInArrow(_neighbours(False), _PAIRS).select("a", "b")
+    found = settle(near.where("a is not null").select("a", "b").union(across).distinct(), "pairs")
+    discard(near)
     pairs, crowd = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = settle(wanted, "wanted")
+    wanted = settle(wanted.join(nodes.select("id", "mark"), "id"), "wanted")
     bits = spark.sparkContext.broadcast(_filter(wanted))
-    likely = rows.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_sets(k, bits), "id long, set binary")
-    sets = settle(likely.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    likely = rows.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_sets(k, bits), "id long, mark binary, set binary")
+    sets = settle(likely.join(wanted, ["id", "mark"], "left_semi").select("id", "set").dropDuplicates(["id"]), "sets")
     checked = settle(_confirmed(pairs, sets), "checked")
     linked = F.expr(f"100 * shared >= {percent} * total")
     first = settle(components(checked.where(linked).select("a", "b")), "groups")
@@ -239,13 +350,14 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     ends = ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
     both = checked.union(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "total"))
     likeness = both.groupBy("a").agg(F.avg(F.col("shared") / F.col("total")).alias("mean"), F.count("*").alias("n"))
-    # groups are cut down by the best of each of 64 parts before their best are ranked
+    # the best of each of PARTS parts of a group, and of these the best HUBS: both are aggregated before they move
     ranked = of.join(likeness, F.col("node") == F.col("a")).select("component", "node", (F.col("mean") - 0.2 / F.sqrt("n")).alias("rank"))
-    part = Window.partitionBy("component", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy(F.desc("rank"), "node")
-    whole = Window.partitionBy("component").orderBy(F.desc("rank"), "node")
-    hubs = ranked.withColumn("r", F.row_number().over(part)).where(f"r <= {HUBS}").withColumn("r", F.row_number().over(whole)).where(f"r <= {HUBS}").select("component", F.col("node").alias("hub"))
+    best = ranked.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(PARTS)).alias("part")).agg(F.max(F.struct("rank", -F.col("node"))).alias("best"))
+    hubs = best.groupBy("component").agg(F.slice(F.sort_array(F.collect_list("best"), asc=False), 1, HUBS).alias("best")).select("component", F.explode("best").alias("best")).select("component", (-F.col("best.col2")).alias("hub"))
+    hubs = settle(hubs.join(settle(ends.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "asked"), "component", "left_semi"), "hub_list")
     tries = ends.select(F.col("a").alias("x"), F.col("cb").alias("component")).union(ends.select(F.col("b").alias("x"), F.col("ca").alias("component"))).distinct()
-    tries = tries.join(hubs, "component").where("x <> hub").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    by_group = hubs.groupBy("component").agg(F.collect_list("hub").alias("hubs"))
+    tries = lookup(tries, by_group, "component", by_group.count(), "inner").withColumn("hub", F.explode("hubs")).where("x <> hub").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = settle(_confirmed(tries, sets), "hubs")
     final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(linked).select("a", "b"))), "groups")
     # The likeliest pairs of different groups first: what they join needs no more pairs. Then all that are left.
@@ -256,6 +368,7 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
         more = settle(_confirmed(left, sets).where(linked).select("a", "b"), "crowd_links")
         if not more.isEmpty():
             final = settle(components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
-    groups = settle(nodes.join(final, F.col("id") == F.col("node"), "left").select("mark", F.coalesce("component", "id").alias("component")), "classes")
-    out = signed.join(groups, "mark", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    groups = settle(nodes.join(final, F.col("id") == F.col("node"), "left").select(F.col("mark").alias("by"), F.coalesce("component", "id").alias("component")), "classes")
+    out = lookup(marked.select("id", "n_shingles", "by"), groups, "by", nodes.count()).select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    discard(found, wanted, sets, checked, first, hubs, crowded)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
