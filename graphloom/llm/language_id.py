@@ -109,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> LanguageModel:
-    """Fit on whole texts of at most about `sample` labelled rows, chosen by a hash of the id; all of them where there are fewer."""
+    """Fit on whole texts of at most about `sample` labelled rows, chosen by a hash of id and text; all of them where there are fewer."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = rows.groupBy(lang_col).count().collect()
     total = sum(r["count"] for r in labelled)
@@ -119,7 +119,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         share = F.lit(0.0)
         for lang, f in each.items():
             share = F.when(F.col(lang_col) == lang, f).otherwise(share)
-        rows = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("lang")), F.lit(1 << 20)) < share * (1 << 20))
+        rows = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.lit("lang")), F.lit(1 << 20)) < share * (1 << 20))
     counted = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted({r[lang_col] for r in labelled})
     n = np.zeros((BUCKETS, len(languages)))

@@ -69,11 +69,11 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30
     return float(w[0]), w[1:]
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 0.002, candidates: int = 300) -> RuleEnsemble:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 0.002) -> RuleEnsemble:
     """Rules of trees grown on all rows, thinned by the lasso. Without rows, a constant of one half; with one class, near it."""
     if not len(y):
         return RuleEnsemble(0.0, [])
-    rules = list(dict.fromkeys(r for t in boost(x, y, trees, depth, least=max(3, len(y) // 1000)).trees for r in t.paths()))[:candidates]
+    rules = list(dict.fromkeys(r for t in boost(x, y, trees, depth, least=max(3, len(y) // 1000)).trees for r in t.paths()))
     if not rules:
         mean = (y.sum() + 0.5) / (len(y) + 1)
         return RuleEnsemble(float(np.log(mean / (1 - mean))), [])
@@ -85,7 +85,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
     """Fit on whole texts of at most about `sample` labelled rows, chosen by a hash of the id.
 
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts by its least label.
+    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts by its least label, one with
+    several texts by the least of their statistics.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("mark"))
     n = marks.count()
@@ -94,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if n > sample:  # the same bound on the documents' side, before their texts move
         texts = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < sample / n * (1 << 20))
-    measured = with_statistics(texts, F.col("doc_id")).dropDuplicates(["id"])
+    measured = with_statistics(texts, F.col("doc_id")).groupBy("id").agg(F.min(F.struct(*STATS)).alias("s")).select("id", "s.*")
     table = measured.join(marks, "id").orderBy("id").toArrow()
     x = np.stack([table[s].to_numpy() for s in STATS], 1) if table.num_rows else np.zeros((0, len(STATS)))
     return fit(x, table["mark"].to_numpy().astype(np.float64) if table.num_rows else np.zeros(0))
