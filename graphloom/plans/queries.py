@@ -148,3 +148,9 @@ _q("fn_norm_category", "SELECT page_id, nullif(regexp_replace(regexp_replace(low
 def explainable(name: str, spark: SparkSession, sf_dir: str) -> str:
     """The formatted plan of a query."""
     return QUERIES[name](spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+from . import code  # noqa: E402
+
+QUERIES |= code.QUERIES
+ORACLES |= code.ORACLES
