@@ -360,7 +360,7 @@ def braces(text: str, lang: str) -> Parsed:
             continue
         body, end = _extent(code, after, lang, kind)
         groups = m.groupdict()
-        if kind == "method" and body is None and lang in ("typescript", "javascript") and inner[3] == "class" and "abstract" not in (groups.get("mods") or ""):
+        if groups.get("arrow") is None and kind == "method" and body is None and lang in ("typescript", "javascript") and inner[3] == "class" and "abstract" not in (groups.get("mods") or ""):
             if not re.match(r"\s*[;\n]", code[end - 1 : end + 1]) or "=" in code[after:end]:
                 continue
         arrow = groups.get("arrow")

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def nonneg(c: Column) -> Column:
-    """A whole number that is not negative, else 0."""
-    return F.greatest(F.coalesce(c.try_cast("long"), F.lit(0)), F.lit(0)).cast("long")
+def nonneg(v: Column) -> Column:
+    """A whole number of JSON (a VARIANT) that is not negative, else 0: no text, no fraction, no true or false."""
+    return F.when(F.schema_of_variant(v) == "BIGINT", F.greatest(F.try_variant_get(v, "$", "bigint"), F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
 def rel_change(before: Column, after: Column) -> Column:
@@ -24,27 +24,45 @@ def tier(model: Column) -> Column:
     return out
 
 
-def tool_name(tool: Column, server: str = "compass") -> Column:
-    """Tools of our own server by a short name, other servers' tools as one."""
-    own = rf"^mcp__(?:plugin_{server}_)?{server}__(.+)$"
+def tool_name(tool: Column, server: str) -> Column:
+    """Tools of our own server, named in full or through a plugin, by a short name; other servers' tools as one."""
+    own = rf"^mcp__(?:plugin_{server}_)?{server}__(\w+)$"
     return F.when(F.rlike(tool, F.lit(own)), F.concat(F.lit(server + ":"), F.regexp_extract(tool, own, 1))).when(F.startswith(tool, F.lit("mcp__")), "mcp").otherwise(tool)
 
 
-#: Synonyms of task categories.
-CATEGORIES = {"bug": "bugfix", "bug-fix": "bugfix", "fix": "bugfix", "feat": "feature", "docs": "doc", "documentation": "doc", "refactoring": "refactor", "tests": "test", "testing": "test"}
+#: Task categories and the words that stand for them, words for sizes, characters of a category.
+CATEGORIES = {
+    "explain": ("explain", "locate", "locate and explain", "question", "understand"),
+    "bug_fix": ("bug fix", "bugfix", "bug", "fix"),
+    "feature": ("feature", "small feature", "new feature"),
+    "refactor": ("refactor", "refactoring", "cross module refactor"),
+    "tests": ("tests", "test", "write tests", "testing"),
+    "triage": ("triage", "failing tests", "logs", "triage failing tests or logs"),
+}
+SIZES = {"s": "S", "small": "S", "m": "M", "medium": "M", "l": "L", "large": "L"}
+CATEGORY_CHARS = 30
 
 
 def norm_category(c: Column) -> Column:
-    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    out = F.nullif(slug, F.lit(""))
-    for k, v in CATEGORIES.items():
-        out = F.when(slug == k, v).otherwise(out)
+    """The category that the words name, else the words as a slug of at most CATEGORY_CHARS; null without words."""
+    words = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    out = F.nullif(F.substring(F.replace(words, F.lit(" "), F.lit("_")), 1, CATEGORY_CHARS), F.lit(""))
+    for name, spoken in CATEGORIES.items():
+        out = F.when(words.isin(*spoken) | (F.replace(words, F.lit(" "), F.lit("_")) == name), name).otherwise(out)
     return out
 
 
 def norm_size(c: Column) -> Column:
-    first = F.upper(F.substring(F.trim(c), 1, 1))
-    return F.when(first.isin("S", "M", "L"), first)
+    """S, M or L by the first word; null for any other."""
+    first = F.lower(F.regexp_extract(c, r"^\s*(\S+)", 1))
+    return _by_word(first, SIZES)
+
+
+def _by_word(word: Column, table: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in table.items():
+        out = F.when(word == k, v).otherwise(out)
+    return out
 
 
 def iso_to_epoch(c: Column) -> Column:

@@ -77,3 +77,9 @@ def tests_in_package(files: DataFrame) -> DataFrame:
     """(test, source): every test file with every other file of its directory and language."""
     tests = files.where("is_test").select(F.col("path").alias("test"), "dir", "lang")
     return tests.join(files.select(F.col("path").alias("source"), "dir", "lang"), ["dir", "lang"]).where("test <> source").select("test", "source")
+
+
+def tests_in_package_counts(files: DataFrame) -> DataFrame:
+    """Each test with its folder and how many other files that folder holds: what it tests, without a row for every pair."""
+    held = files.groupBy("dir").agg((F.count("*") - 1).alias("sources"))
+    return files.where("is_test").select(F.col("path").alias("test"), "dir").join(held, "dir").where("sources > 0").select("test", "dir", "sources")

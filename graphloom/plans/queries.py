@@ -88,18 +88,14 @@ _q("sort_shortest_first", duck("SELECT DISTINCT dir FROM files ORDER BY length(d
 _q("limit_callers", duck("SELECT path, line, total FROM (SELECT path, line, count(*) OVER () AS total FROM refs WHERE name='the') ORDER BY path, line LIMIT 500", "refs"), lambda s, d: (lambda r: r.join(F.broadcast(r.agg(F.count("*").alias("total")))).orderBy("path", "line").limit(500).select("path", "line", "total"))(rel.refs(s, d).where("name = 'the'").select("path", "line")))
 
 # graph
-_q("join_in_list", duck("SELECT DISTINCT path, target FROM imports WHERE resolved IN ('Brand#11/1','Brand#13/2','Brand#42/3','Brand#1/4')", "imports"), lambda s, d: graph.importers_of(rel.imports(s, d), ["Brand#11/1", "Brand#13/2", "Brand#42/3", "Brand#1/4"]))
 _q("join_prefix", duck("SELECT DISTINCT path, target FROM imports WHERE resolved='Brand#11' OR starts_with(resolved, 'Brand#11/')", "imports"), lambda s, d: graph.importers_under(rel.imports(s, d), "Brand#11"))
 _q("anti_inside", duck("SELECT path, target, resolved FROM imports WHERE NOT (path='order/1' OR starts_with(path, 'order/1/'))", "imports"), lambda s, d: graph.anti_inside(rel.imports(s, d), "order/1"))
 _q("join_left_agg", duck("SELECT dir, count(*) AS files, coalesce(sum(n),0)::BIGINT AS symbols FROM files f LEFT JOIN (SELECT path, count(*) AS n FROM symbols GROUP BY path) s ON f.path=s.path GROUP BY dir", "files", "symbols"), lambda s, d: graph.directory_stats(rel.files(s, d), rel.symbols(s, d)))
-_q("agg_dir_stats", ORACLES["join_left_agg"], QUERIES["join_left_agg"])
 _q("join_purpose", duck("SELECT dir, arg_min(doc, (size%3, path)) AS doc FROM files WHERE doc IS NOT NULL GROUP BY dir", "files"), lambda s, d: graph.purposes(rel.files(s, d).withColumn("rank", F.col("size") % 3)))
 _q("agg_group_collect", duck("SELECT path, array_to_string(list_sort(list(DISTINCT target)), ',') AS targets FROM imports GROUP BY path", "imports"), lambda s, d: graph.targets_by_importer(rel.imports(s, d)).select("path", F.array_join("targets", ",").alias("targets")))
 _q("join_symbols_files", duck("SELECT f.lang, count(*) AS n FROM symbols s JOIN files f ON s.path=f.path GROUP BY 1", "symbols", "files"), lambda s, d: rel.symbols(s, d).join(rel.files(s, d).select("path", "lang"), "path").groupBy("lang").agg(F.count("*").alias("n")))
 _q("join_refs_files", duck("SELECT r.path, r.name, r.line FROM refs r JOIN files f ON r.path=f.path WHERE f.is_test", "refs", "files"), lambda s, d: rel.refs(s, d).join(rel.files(s, d).where("is_test").select("path"), "path", "left_semi"))
-_q("join_test_same_package", duck("SELECT t.path AS test, s.path AS source FROM files t JOIN files s ON t.dir=s.dir AND t.path<>s.path WHERE t.is_test AND t.size%50=0", "files"), lambda s, d: rel.files(s, d).where("is_test and size % 50 = 0").select(F.col("path").alias("test"), "dir").join(rel.files(s, d).select(F.col("path").alias("source"), "dir"), "dir").where("test <> source").select("test", "source"))
-# All test files; the query above and its SQL keep one in fifty.
-QUERIES["join_test_same_package_whole"] = lambda s, d: graph.tests_in_package(rel.files(s, d))
+_q("join_test_same_package", duck("SELECT t.path AS test, t.dir, count(*) AS sources FROM files t JOIN files s ON t.dir=s.dir AND t.path<>s.path WHERE t.is_test GROUP BY 1, 2", "files"), lambda s, d: graph.tests_in_package_counts(rel.files(s, d)))
 _q("sort_path_components", duck("SELECT dir, row_number() OVER (ORDER BY string_split(dir,'/')) AS place FROM (SELECT DISTINCT dir FROM files)", "files"), lambda s, d: rel.files(s, d).select("dir").distinct().selectExpr("dir", "cast(row_number() over (order by split(dir, '/')) as long) as place"))
 
 # aggregates
@@ -108,20 +104,16 @@ _q("agg_ref_count", duck("SELECT name, count(*) AS n FROM refs GROUP BY name", "
 _q("agg_distinct", duck("SELECT DISTINCT name FROM refs", "lines", "refs"), lambda s, d: rel.refs(s, d).select("name").distinct())
 _q("agg_lang_counts", duck("SELECT lang, count(*) AS n FROM files GROUP BY lang", "files"), lambda s, d: rel.files(s, d).groupBy("lang").agg(F.count("*").alias("n")))
 _q("win_active_time", duck("SELECT session, sum(s)::BIGINT AS active_s FROM (SELECT session, seg, max(\"at\")-min(opened) AS s FROM (SELECT *, min(start_at) OVER (PARTITION BY session, seg) AS opened FROM (SELECT *, CASE WHEN is_prompt OR (seg=0 AND opens AND NOT ignored) THEN \"at\" END AS start_at FROM (SELECT *, sum(is_prompt::INT) OVER (PARTITION BY session ORDER BY \"at\", ord) AS seg FROM stream))) WHERE (NOT ignored OR is_prompt) AND \"at\" >= opened GROUP BY session, seg) GROUP BY session", "stream"), lambda s, d: activity.active_time(rel.stream(s, d)))
-_q("agg_usage_max", duck("SELECT session, task, max(tokens) AS tokens, max(prompts) AS prompts, arg_max(tool, seq) AS tool FROM turns WHERE task IS NOT NULL GROUP BY 1, 2", "turns"), lambda s, d: activity.usage_by_message(rel.turns(s, d).where("task is not null"), ["session", "task"], ["tokens", "prompts"], "tool", "seq"))
-_TASKS = "tasks AS (SELECT coalesce(nullif(task,''), 'session:'||session) AS key, sum(tokens)::BIGINT AS tokens, sum(prompts)::BIGINT AS prompts, count_if(asked)::BIGINT AS asked, sum(active_s) FILTER (kind='turn') AS active_s, arg_max(category, seq) FILTER (category <> '') AS category, min(\"at\") AS first_at, max(\"at\") AS last_at, CASE WHEN count(DISTINCT compass)=1 THEN bool_and(compass) END AS state FROM turns GROUP BY 1)"
+_TASKS = "tasks AS (SELECT CASE WHEN coalesce(task,'') <> '' THEN ':'||task ELSE ':session:'||session END AS key, sum(tokens)::BIGINT AS tokens, sum(prompts)::BIGINT AS prompts, count_if(asked AND kind='turn')::BIGINT AS asked, coalesce(sum(active_s) FILTER (kind='turn'), 0) AS active_s, arg_max(category, seq) FILTER (category <> '') AS category, min(\"at\") AS first_at, max(\"at\") AS last_at, CASE WHEN count(DISTINCT assisted)=1 THEN bool_and(assisted) END AS state FROM turns GROUP BY 1)"
 _q("agg_tasks_rollup", "WITH " + rel.DUCK["turns"] + ", " + _TASKS + " SELECT key, tokens, prompts, asked, round(active_s, 4) AS active_s, category, first_at, last_at, state FROM tasks", lambda s, d: activity.tasks(rel.turns(s, d)).withColumn("active_s", F.round("active_s", 4)))
 _q("agg_task_metrics", "WITH " + rel.DUCK["turns"] + ", " + _TASKS + " SELECT key, least(asked, greatest(0, prompts-1)) AS answers, greatest(0, prompts-1)-least(asked, greatest(0, prompts-1)) AS corrections FROM tasks", lambda s, d: activity.task_metrics(activity.tasks(rel.turns(s, d))).select("key", "answers", "corrections"))
 _PILOT = "SELECT '{0}' AS metric, median({0}) FILTER (NOT state) AS off, median({0}) FILTER (state) AS \"on\" FROM t"
-_q("agg_pilot", "WITH " + rel.DUCK["turns"] + ", t AS (SELECT session AS key, sum(tokens)::DOUBLE AS tokens, sum(prompts)::DOUBLE AS prompts, bool_and(compass) AS state FROM turns WHERE task IS NULL GROUP BY 1), p AS (" + _PILOT.format("tokens") + " UNION ALL " + _PILOT.format("prompts") + ") SELECT metric, off, \"on\", round(CASE WHEN off <> 0 THEN (\"on\"-off)/off END, 9) AS change FROM p", lambda s, d: activity.pilot(activity.tasks(rel.turns(s, d).where("task is null")), ["tokens", "prompts"]).withColumn("change", F.round("change", 9)))
-_q("agg_unused_tools", duck("SELECT count(*) AS sessions, count_if(r>0 AND o=0)::BIGINT AS quiet FROM (SELECT session, count_if(tool='view') AS r, count_if(tool='purchase') AS o FROM turns WHERE kind='turn' AND compass GROUP BY session)", "turns"), lambda s, d: activity.unused_tools(rel.turns(s, d)))
+_q("agg_pilot", "WITH " + rel.DUCK["turns"] + ", t AS (SELECT session AS key, sum(tokens)::DOUBLE AS tokens, sum(prompts)::DOUBLE AS prompts, bool_and(assisted) AS state FROM turns WHERE task IS NULL GROUP BY 1), p AS (" + _PILOT.format("tokens") + " UNION ALL " + _PILOT.format("prompts") + ") SELECT metric, off, \"on\", round(CASE WHEN off <> 0 THEN (\"on\"-off)/off END, 9) AS change FROM p", lambda s, d: activity.pilot(activity.tasks(rel.turns(s, d).where("task is null")), ["tokens", "prompts"]).withColumn("change", F.round("change", 9)))
 _GATE = "CASE event_type WHEN 'click' THEN 'ask' WHEN 'error' THEN 'block' WHEN 'signup' THEN 'bypass' ELSE event_type END"
-_q("agg_gate_summary", f"SELECT count(*) AS total, asked, bypassed, round(bypassed/(asked+bypassed), 9) AS bypass_rate FROM (SELECT *, count_if(o IN ('ask','warn','block')) OVER ()::BIGINT AS asked, count_if(o='bypass') OVER ()::BIGINT AS bypassed FROM (SELECT {_GATE} AS o FROM events)) GROUP BY asked, bypassed", lambda s, d: activity.gate_summary(rel.table(s, d, "events").select(F.expr(_GATE).alias("outcome"))).withColumn("bypass_rate", F.round("bypass_rate", 9)))
+_q("agg_gate_summary", f"SELECT count(*) AS total, asked, bypassed, round(bypassed/count(*), 9) AS bypass_rate FROM (SELECT *, count_if(o IN ('ask','warn','block')) OVER ()::BIGINT AS asked, count_if(o='bypass') OVER ()::BIGINT AS bypassed FROM (SELECT {_GATE} AS o FROM events)) GROUP BY asked, bypassed", lambda s, d: activity.gate_summary(rel.table(s, d, "events").select(F.expr(_GATE).alias("outcome"))).withColumn("bypass_rate", F.round("bypass_rate", 9)))
 _q("agg_headline", duck("SELECT round(median(d), 9) AS delta, count(*) AS n FROM (SELECT (a-b)/b AS d FROM (SELECT task, median(metric) FILTER (condition='A') AS a, median(metric) FILTER (condition='N') AS b FROM runs GROUP BY task) WHERE a IS NOT NULL AND b IS NOT NULL AND b <> 0)", "runs"), lambda s, d: activity.headline(rel.runs(s, d), "A", "N").withColumn("delta", F.round("delta", 9)))
 _q("agg_passes", duck("SELECT condition, count_if(passed)::BIGINT AS passed, count(*) AS total FROM runs GROUP BY 1", "runs"), lambda s, d: activity.passes(rel.runs(s, d)))
 _q("agg_median", duck("SELECT task, median(metric) AS m FROM runs GROUP BY task", "runs"), lambda s, d: rel.runs(s, d).groupBy("task").agg(F.median("metric").alias("m")))
-_q("agg_bench", duck("SELECT task, condition, count(*) AS n, count_if(passed)::BIGINT AS passed, median(metric) AS m FROM runs GROUP BY 1, 2", "runs"), lambda s, d: rel.runs(s, d).groupBy("task", "condition").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.median("metric").alias("m")))
-_q("agg_tool_counts", duck("SELECT tool, count(DISTINCT seq) AS n FROM turns GROUP BY tool", "turns"), lambda s, d: rel.turns(s, d).dropDuplicates(["seq"]).groupBy("tool").agg(F.count("*").alias("n")))
 _q("agg_map_merge", duck("SELECT session, tool, sum(tokens)::BIGINT AS v FROM turns GROUP BY 1, 2", "turns"), lambda s, d: activity.merged_maps(rel.turns(s, d).select("session", F.create_map("tool", "tokens").alias("m")), "session", "m").select("session", F.explode("m").alias("tool", "v")))
 _q("agg_usage_by_model", duck("SELECT kind, tool, sum(tokens)::BIGINT AS tokens FROM turns GROUP BY 1, 2", "turns"), lambda s, d: rel.turns(s, d).groupBy("kind", "tool").agg(F.sum("tokens").cast("long").alias("tokens")))
 
@@ -140,9 +132,7 @@ _q("set_ordered_unique", duck("SELECT name, min(line) AS first_line FROM refs GR
 _q("fn_estimate_tokens", duck("SELECT path, line, ((length(line_text)+2)//3)::BIGINT AS tokens FROM lines", "lines"), lambda s, d: rel.lines(s, d).select("path", "line", tx.estimate_tokens(F.col("line_text")).alias("tokens")))
 _q("fn_basename", duck("SELECT path, regexp_extract(path, '[^/]*$') AS base, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files", "files"), lambda s, d: rel.files(s, d).select("path", tx.basename(F.col("path")).alias("base"), tx.dirname(F.col("path")).alias("dir")))
 _q("fn_truncate_ellipsis", duck("SELECT path, line, CASE WHEN length(line_text)>40 THEN left(line_text,39)||'…' ELSE line_text END AS t FROM lines", "lines"), lambda s, d: rel.lines(s, d).select("path", "line", tx.truncate(F.col("line_text"), 40).alias("t")))
-_q("fn_shard_stem", duck("SELECT DISTINCT dir, replace(replace(dir,'~','~~'),'/','~s') AS stem FROM files", "files"), lambda s, d: rel.files(s, d).select("dir", tx.shard_stem(F.col("dir")).alias("stem")).distinct())
 _q("fn_rel_change", duck("SELECT o.path, CASE WHEN o.size <> 0 THEN round((n.size-o.size)/o.size, 9) END AS change FROM old o JOIN new n ON o.path=n.path", "snapshots"), lambda s, d: (lambda a, b: a.join(b.withColumnRenamed("size", "now"), "path").select("path", F.round(va.rel_change(F.col("size"), F.col("now")), 9).alias("change")))(*rel.snapshots(s, d)))
-_q("fn_norm_category", "SELECT page_id, nullif(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS slug FROM pages", lambda s, d: rel.table(s, d, "pages").select("page_id", va.norm_category(F.col("url")).alias("slug")))
 
 
 def explainable(name: str, spark: SparkSession, sf_dir: str) -> str:
@@ -150,7 +140,9 @@ def explainable(name: str, spark: SparkSession, sf_dir: str) -> str:
     return QUERIES[name](spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-from . import code  # noqa: E402
+from . import code, rules  # noqa: E402
 
-QUERIES |= code.QUERIES
-ORACLES |= code.ORACLES
+QUERIES |= code.QUERIES | rules.QUERIES
+ORACLES |= code.ORACLES | rules.ORACLES
+# Pairs of every test with every file of its folder, without SQL.
+QUERIES["join_test_same_package_whole"] = lambda s, d: graph.tests_in_package(rel.files(s, d))

@@ -52,7 +52,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("user_id").cast("string").alias("session"), F.when(k % 5 != 0, F.concat(F.lit("t"), (k % 40).cast("string"))).alias("task"),
         F.when(F.col("event_type") == "error", "subagent").otherwise("turn").alias("kind"), F.when(k % 3 == 0, "bugfix").when(k % 3 == 1, "feature").alias("category"),
-        (F.col("user_id") % 2 == 0).alias("compass"), k.alias("tokens"), (k % 4).alias("prompts"), F.col("value").alias("active_s"), F.col("event_type").alias("tool"), (F.col("event_type") == "view").alias("asked"),
+        (F.col("user_id") % 2 == 0).alias("assisted"), k.alias("tokens"), (k % 4).alias("prompts"), F.col("value").alias("active_s"), F.col("event_type").alias("tool"), (F.col("event_type") == "view").alias("asked"),
     )
 
 
@@ -87,7 +87,7 @@ DUCK = {
     "symbols": "symbols AS (SELECT path, split_part(line_text, ' ', 1) AS name, ['class','function','method','constant'][(length(line_text)%4+1)::INT] AS kind, line AS start_line, line + length(line_text)%5 AS end_line, CASE WHEN length(line_text)%3=0 THEN line_text END AS doc, row_number() OVER (PARTITION BY path ORDER BY line) AS id FROM lines WHERE line_text <> '')",
     "refs": "refs AS (SELECT path, split_part(line_text, ' ', 2) AS name, line FROM lines WHERE split_part(line_text, ' ', 2) <> '')",
     "imports": "imports AS (SELECT DISTINCT 'order/'||l_orderkey AS path, l_partkey::VARCHAR AS target, CASE WHEN l_partkey%7 <> 0 THEN p_brand||'/'||l_partkey END AS resolved FROM lineitem JOIN part ON l_partkey=p_partkey)",
-    "turns": "turns AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\", user_id::VARCHAR AS session, CASE WHEN k%5 <> 0 THEN 't'||(k%40) END AS task, CASE WHEN event_type='error' THEN 'subagent' ELSE 'turn' END AS kind, CASE k%3 WHEN 0 THEN 'bugfix' WHEN 1 THEN 'feature' END AS category, user_id%2=0 AS compass, k AS tokens, k%4 AS prompts, value AS active_s, event_type AS tool, event_type='view' AS asked FROM (SELECT *, json_extract_string(props,'$.k')::BIGINT AS k FROM events))",
+    "turns": "turns AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\", user_id::VARCHAR AS session, CASE WHEN k%5 <> 0 THEN 't'||(k%40) END AS task, CASE WHEN event_type='error' THEN 'subagent' ELSE 'turn' END AS kind, CASE k%3 WHEN 0 THEN 'bugfix' WHEN 1 THEN 'feature' END AS category, user_id%2=0 AS assisted, k AS tokens, k%4 AS prompts, value AS active_s, event_type AS tool, event_type='view' AS asked FROM (SELECT *, json_extract_string(props,'$.k')::BIGINT AS k FROM events))",
     "stream": "stream AS (SELECT user_id AS session, floor(epoch(ts))::BIGINT AS \"at\", event_id AS ord, event_type='signup' AS is_prompt, event_type='error' AS ignored, event_type IN ('click','purchase') AS opens FROM events)",
     "runs": "runs AS (SELECT p_brand AS task, l_returnflag AS condition, l_extendedprice AS metric, l_linestatus='F' AS passed FROM lineitem JOIN part ON l_partkey=p_partkey)",
     "snapshots": "old AS (SELECT o_orderkey AS path, floor(o_totalprice)::BIGINT AS size FROM orders WHERE o_orderkey%10 <> 3), new AS (SELECT o_orderkey AS path, floor(o_totalprice)::BIGINT + CASE WHEN o_orderkey%4=0 THEN 1 ELSE 0 END AS size FROM orders WHERE o_orderkey%10 <> 7)",

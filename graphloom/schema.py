@@ -9,6 +9,6 @@ REFS = "path string, name string, line bigint, kind string"
 SKIPPED = "path string, size bigint, mtime_ns bigint"
 _USAGE = "struct<input: bigint, output: bigint, cache_creation: bigint, cache_read: bigint>"
 TELEMETRY = (
-    f"v int, kind string, at string, session string, task string, category string, size string, large boolean, compass boolean, modules array<string>, main map<string, {_USAGE}>, "
-    f"delegated map<string, {_USAGE}>, tools map<string, bigint>, prompts bigint, active_s double, injected_chars bigint, claude_code string, asked boolean, source string, bench string"
+    f"v int, kind string, at string, session string, task string, category string, size string, large boolean, assisted boolean, modules array<string>, main map<string, {_USAGE}>, "
+    f"delegated map<string, {_USAGE}>, tools map<string, bigint>, prompts bigint, active_s double, injected_chars bigint, host_version string, asked boolean, source string, bench string"
 )

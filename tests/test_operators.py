@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from graphloom.extraction.languages import language_of
 from graphloom.functions import text as tx
 from graphloom.functions import values as va
 from graphloom.functions.globs import globs_regex
@@ -28,14 +29,21 @@ def test_decision():
     d = activity.decision
     assert d(-0.25, 0.0, (9, 9), (8, 9)) == "go"
     assert d(-0.15, 0.08, (9, 9), (9, 9)) == "narrow"
-    assert d(-0.25, 0.0, (7, 9), (8, 9)) == "stop"
-    assert d(None, 0.0, (9, 9), (9, 9)) == "stop"
+    assert d(-0.25, 0.0, (7, 9), (8, 9)) == "narrow"  # fewer passes
+    assert d(-0.25, 0.2, (9, 9), (9, 9)) == d(-0.05, 0.0, (9, 9), (9, 9)) == "stop"
+    assert d(None, 0.0, (9, 9), (9, 9)) is d(-0.2, None, None, None) is None
+    assert d(-0.25, 0.0, None, (9, 9)) == "go"  # missing passes are no drop
 
 
-def test_bootstrap_is_repeatable():
+def test_bootstrap_against_plain_resampling():
+    import random
+    import statistics
+
     assert activity.bootstrap([]) is None
-    lo, hi = activity.bootstrap([-0.3, -0.2, -0.1, 0.0], 500)
-    assert (lo, hi) == activity.bootstrap([-0.3, -0.2, -0.1, 0.0], 500) and lo <= -0.15 <= hi
+    for values in ([-0.3, -0.2, -0.1, 0.0], [0.5], [-0.4, 0.1, 0.3, -0.2, 0.05]):
+        r = random.Random(activity.SEED)
+        medians = sorted(statistics.median(r.choices(values, k=len(values))) for _ in range(400))
+        assert activity.bootstrap(values, 400) == (medians[9], medians[389])
 
 
 def test_names_and_paths(spark):
@@ -43,20 +51,27 @@ def test_names_and_paths(spark):
     assert one(spark, tx.leading_parts(F.lit("a.b::C#run()"))) == "a.b.C"
     assert one(spark, tx.leading_parts(F.lit("run"))) is None
     assert one(spark, tx.fold(F.lit("ÉCOLE A"))) == "ÉcolE a".replace("E", "e")
-    assert one(spark, tx.remote_url(F.lit("git@host.example:team/repo.git"))) == "https://host.example/team/repo"
-    assert one(spark, tx.detect_language(F.lit("bin/run"), F.lit("#!/usr/bin/env python3"))) == "python"
-    assert one(spark, tx.detect_language(F.lit("src/a.ts"))) == "typescript"
+    assert one(spark, tx.remote_url(F.lit("git@github.com:team/repo.git")))["web"] == "https://github.com/team/repo"
+    assert language_of("bin/run", "#!/usr/bin/env python3") == "python" and language_of("src/a.ts") == "typescript"
+    assert language_of("a/.bashrc") is None and language_of("tool", "#!/usr/bin/node --x") == "javascript" and language_of("x.TS") == "typescript"
     assert one(spark, tx.normalize_signature(F.lit("def  f( a,\n b, ) :"))) == "def f(a, b)"
-    assert one(spark, tx.test_stem(F.lit("test_store"), ("test_",), ("_test",))) == "store"
-    assert one(spark, va.tool_name(F.lit("mcp__other__find"))) == "mcp"
-    assert one(spark, va.nonneg(F.lit("-3"))) == 0
+    assert one(spark, va.tool_name(F.lit("mcp__other__find"), "own")) == "mcp"
+    assert [one(spark, va.nonneg(F.parse_json(F.lit(x)))) for x in ("-3", '"3"', "true", "3.5", "3", "null")] == [0, 0, 0, 0, 3, 0]
     assert one(spark, va.duration(F.lit(125.2))) == "2m 05s"
 
 
 def test_globs(spark):
-    regex = globs_regex(["build/", "src/*.py", "[bad"])
-    paths = spark.createDataFrame([("build/x",), ("a/build/y/z",), ("src/a.py",), ("src/b/a.py",), ("other",)], "p string")
-    assert {r["p"] for r in paths.where(F.rlike("p", F.lit(regex))).collect()} == {"build/x", "a/build/y/z", "src/a.py"}
+    """Known answers, by Spark's own expressions."""
+    cases = [
+        ("build/", ["build/x", "a/build/y/z"], ["builds/x"]), ("src/*.py", ["src/a.py"], ["src/b/a.py", "x/src/a.py"]), ("/top", ["top", "top/x"], ["a/top"]),
+        ("**/t_?.py", ["t_1.py", "a/b/t_x.py"], ["t_11.py"]), ("a/**/z", ["a/z", "a/b/c/z"], ["az"]), ("[ab]x", ["ax", "q/bx/y"], ["cx"]), ("[!a]x", ["bx"], ["ax"]),
+        ("[[]x", ["[x"], ["x"]), ("[a&&b]x", ["&x", "ax"], ["cx"]), ("[bad", ["[bad"], ["bad"]), ("[]x", ["[]x"], ["x"]), ("[z-a]", ["[z-a]"], ["z"]), ("a.b+c", ["a.b+c"], ["aXb+c"]), ("  *.md ", ["x/y.md"], ["y.mdx"]),
+    ]
+    for glob, yes, no in cases:
+        regex = globs_regex([glob])
+        got = {r["p"] for r in spark.createDataFrame([(p,) for p in yes + no], "p string").where(F.rlike("p", F.lit(regex))).collect()}
+        assert got == set(yes), glob
+    assert not spark.createDataFrame([("",), ("x",)], "p string").where(F.rlike("p", F.lit(globs_regex([" "])))).collect()
 
 
 def test_closest_and_prefix(spark):
