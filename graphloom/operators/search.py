@@ -33,18 +33,29 @@ def shortest_first(values: DataFrame, column: str, limit: int = 10) -> DataFrame
     return values.orderBy(F.length(column), column).limit(limit)
 
 
+#: Lines of a block. A line meets only the intervals that reach into its block, so a long file is no single key.
+BLOCK = 256
+
+
+def in_blocks(intervals: DataFrame) -> DataFrame:
+    """One row for each block that an interval [start_line, end_line] reaches into."""
+    return intervals.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / BLOCK), F.floor(F.col("end_line") / BLOCK))))
+
+
 def enclosing(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each call with the innermost symbol around it, or nulls: the shortest interval, then the latest start, then the last id."""
-    s = symbols.select(F.col("path").alias("s_path"), F.col("name").alias("symbol"), "start_line", "end_line", "id")
-    hit = refs.join(s, (F.col("path") == F.col("s_path")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
-    best = F.max_by(F.struct("symbol", "start_line"), F.struct(-(F.col("end_line") - F.col("start_line")), F.col("start_line"), F.col("id")))
+    s = in_blocks(symbols.select("path", F.col("name").alias("symbol"), "start_line", "end_line", "id"))
+    hit = refs.withColumn("block", F.floor(F.col("line") / BLOCK)).join(s, ["path", "block"], "left")
+    order = F.struct(F.col("start_line") - F.col("end_line"), F.col("start_line"), F.col("id"))
+    best = F.max_by(F.struct("symbol", "start_line"), F.when(F.col("line").between(F.col("start_line"), F.col("end_line")), order))
     return hit.groupBy("path", "name", "line").agg(best.alias("b")).select("path", "name", "line", F.col("b.symbol").alias("symbol"), F.col("b.start_line").alias("start_line"))
 
 
 def calls_inside(refs: DataFrame, symbols: DataFrame, kind: str) -> DataFrame:
-    """Calls that lie in a symbol of the kind (semi join on path and range)."""
-    s = symbols.where(F.col("kind") == kind).select(F.col("path").alias("p"), "start_line", "end_line")
-    return refs.join(s, (F.col("path") == F.col("p")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left_semi")
+    """Calls that lie in a symbol of the kind: a semi join with the merged intervals of the kind, by blocks of lines."""
+    s = in_blocks(merged_spans(symbols.where(F.col("kind") == kind))).withColumnsRenamed({"path": "p", "block": "b"})
+    r = refs.withColumn("block", F.floor(F.col("line") / BLOCK))
+    return r.join(s, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left_semi").drop("block")
 
 
 def merged_spans(spans: DataFrame, before: int = 0, after: int = 0) -> DataFrame:

@@ -105,7 +105,7 @@ _q("agg_distinct", duck("SELECT DISTINCT name FROM refs", "lines", "refs"), lamb
 _q("agg_lang_counts", duck("SELECT lang, count(*) AS n FROM files GROUP BY lang", "files"), lambda s, d: rel.files(s, d).groupBy("lang").agg(F.count("*").alias("n")))
 _q("win_active_time", duck("SELECT session, sum(s)::BIGINT AS active_s FROM (SELECT session, seg, max(\"at\")-min(opened) AS s FROM (SELECT *, min(start_at) OVER (PARTITION BY session, seg) AS opened FROM (SELECT *, CASE WHEN is_prompt OR (seg=0 AND opens AND NOT ignored) THEN \"at\" END AS start_at FROM (SELECT *, sum(is_prompt::INT) OVER (PARTITION BY session ORDER BY \"at\", ord) AS seg FROM stream))) WHERE (NOT ignored OR is_prompt) AND \"at\" >= opened GROUP BY session, seg) GROUP BY session", "stream"), lambda s, d: activity.active_time(rel.stream(s, d)))
 _TASKS = "tasks AS (SELECT CASE WHEN coalesce(task,'') <> '' THEN ':'||task ELSE ':session:'||session END AS key, sum(tokens)::BIGINT AS tokens, sum(prompts)::BIGINT AS prompts, count_if(asked AND kind='turn')::BIGINT AS asked, coalesce(sum(active_s) FILTER (kind='turn'), 0) AS active_s, arg_max(category, seq) FILTER (category <> '') AS category, min(\"at\") AS first_at, max(\"at\") AS last_at, CASE WHEN count(DISTINCT assisted)=1 THEN bool_and(assisted) END AS state FROM turns GROUP BY 1)"
-_q("agg_tasks_rollup", "WITH " + rel.DUCK["turns"] + ", " + _TASKS + " SELECT key, tokens, prompts, asked, round(active_s, 4) AS active_s, category, first_at, last_at, state FROM tasks", lambda s, d: activity.tasks(rel.turns(s, d)).withColumn("active_s", F.round("active_s", 4)))
+_q("agg_tasks_rollup", "WITH " + rel.DUCK["turns"] + ", " + _TASKS + " SELECT key, tokens, prompts, asked, round(active_s, 4) AS active_s, category, first_at, last_at, state FROM tasks", lambda s, d: activity.tasks(rel.turns(s, d)).drop("size").withColumn("active_s", F.round("active_s", 4)))
 _q("agg_task_metrics", "WITH " + rel.DUCK["turns"] + ", " + _TASKS + " SELECT key, least(asked, greatest(0, prompts-1)) AS answers, greatest(0, prompts-1)-least(asked, greatest(0, prompts-1)) AS corrections FROM tasks", lambda s, d: activity.task_metrics(activity.tasks(rel.turns(s, d))).select("key", "answers", "corrections"))
 _PILOT = "SELECT '{0}' AS metric, median({0}) FILTER (NOT state) AS off, median({0}) FILTER (state) AS \"on\" FROM t"
 _q("agg_pilot", "WITH " + rel.DUCK["turns"] + ", t AS (SELECT session AS key, sum(tokens)::DOUBLE AS tokens, sum(prompts)::DOUBLE AS prompts, bool_and(assisted) AS state FROM turns WHERE task IS NULL GROUP BY 1), p AS (" + _PILOT.format("tokens") + " UNION ALL " + _PILOT.format("prompts") + ") SELECT metric, off, \"on\", round(CASE WHEN off <> 0 THEN (\"on\"-off)/off END, 9) AS change FROM p", lambda s, d: activity.pilot(activity.tasks(rel.turns(s, d).where("task is null")), ["tokens", "prompts"]).withColumn("change", F.round("change", 9)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("class", "function", "method", "constant")
@@ -76,8 +76,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def with_ids(symbols: DataFrame) -> DataFrame:
-    """Symbol ids: the place in the order (path, line) inside each file."""
-    return symbols.withColumn("id", F.row_number().over(Window.partitionBy("path").orderBy("start_line")).cast("long"))
+    """Symbol ids that order the symbols of a file: here a file has one symbol a line, so its line is its id."""
+    return symbols.withColumn("id", F.col("start_line"))
 
 
 #: The same relations as common table expressions of DuckDB.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as va
-from ..operators import activity, classify, transcripts
+from ..operators import activity, classify, prompts, transcripts
 from ..sources.files import diff_added, line_stats
 from ..sources.store import resolved, touched
 from . import relations as rel
@@ -77,6 +77,14 @@ _q("cl_manifest_build", f"SELECT s.path, status, added, deleted, count(t.path) A
 _REPLY = "CASE k%7 WHEN 0 THEN 'Yes, approved!' WHEN 1 THEN 'ok, accept t'||k||' and commit' WHEN 2 THEN 'not approved' WHEN 3 THEN 'approve it later' WHEN 4 THEN 'I approve the plan T'||k WHEN 5 THEN 'accepted?' ELSE 'please add a cache' END"
 _q("cl_reply", f"SELECT event_id, CASE k%7 WHEN 0 THEN 'approve' WHEN 1 THEN 'accept' WHEN 4 THEN 'approve' END AS kind, CASE WHEN k%7 IN (1, 4) THEN 'T'||k END AS task FROM {_K}", lambda s, d: (lambda e: e.select("event_id", classify.reply(F.col("c"))[0].alias("kind"), classify.reply(F.col("c"))[1].alias("task")))(_parts(s, d, c=_REPLY)))
 _q("cl_contract_check", f"SELECT event_id, CASE WHEN k%3=0 THEN 'lines' WHEN k%3=1 THEN 'code' ELSE '' END AS problems FROM {_K}", lambda s, d: _parts(s, d, c="CASE k%3 WHEN 0 THEN repeat('a line\n', 9) WHEN 1 THEN 'a\n```py\n1\n2\n3\n' ELSE 'a\n```\n1\n```\nb' END").select("event_id", F.array_join(classify.answer_problems(F.col("c"), 6, 2), ",").alias("problems")))
+# prompts
+_PROMPT = "CASE k%10 WHEN 0 THEN '' WHEN 1 THEN '/help me' WHEN 2 THEN '!quick fix it' WHEN 3 THEN concat('please add a cache to `Store.get` in src/a', k, '.py, src/b.py and lib/c.ts') WHEN 4 THEN 'yes, and keep the old name' WHEN 5 THEN 'start the dev server' WHEN 6 THEN 'Where is retry_call used?' WHEN 7 THEN 'go ahead' WHEN 8 THEN concat('Goal: refactor part', k, '. Scope: a/b. Constraints: none') ELSE 'run the whole benchmark twice' END"
+_prompts = lambda s, d: prompts.classified(_parts(s, d, c=_PROMPT), "event_id", "c")
+_q("cl_prompt_kind", f"SELECT event_id, CASE k%10 WHEN 0 THEN 'empty' WHEN 1 THEN 'command' WHEN 2 THEN 'bypass' WHEN 3 THEN 'task' WHEN 4 THEN 'reply' WHEN 5 THEN 'action' WHEN 6 THEN 'question' WHEN 7 THEN 'reply' WHEN 8 THEN 'task' ELSE 'action' END AS kind FROM {_K}", lambda s, d: _prompts(s, d).select("event_id", "kind"))
+_q("cl_labels", f"SELECT event_id, 'refactor part'||k AS goal, 'a/b' AS scope FROM {_K} WHERE k%10=8", lambda s, d: _prompts(s, d).where("fields['goal'] is not null").select("event_id", F.expr("fields['goal']").alias("goal"), F.expr("fields['scope']").alias("scope")))
+_q("cl_candidates", f"SELECT event_id, CASE k%10 WHEN 3 THEN 'symbol:Store.get path:src/a'||k||'.py path:src/b.py path:lib/c.ts' WHEN 6 THEN 'symbol:retry_call' WHEN 8 THEN 'path:a/b' WHEN 1 THEN 'path:/help' END AS names FROM {_K} WHERE k%10 IN (1, 3, 6, 8)", lambda s, d: _prompts(s, d).where("size(names) > 0").select("event_id", F.array_join(F.transform("names", lambda n: F.concat(n["kind"], F.lit(":"), n["text"])), " ").alias("names")))
+_q("cl_task_size", f"SELECT event_id, CASE WHEN k%10 IN (3, 8) THEN 'large' ELSE 'small' END AS size FROM {_K}", lambda s, d: _prompts(s, d).select("event_id", "size"))
+_q("cl_missing_fields", f"SELECT event_id, CASE k%10 WHEN 2 THEN 'constraints' WHEN 3 THEN 'constraints' WHEN 4 THEN 'goal' WHEN 5 THEN 'constraints' WHEN 8 THEN '' ELSE 'goal,constraints' END AS missing FROM {_K}", lambda s, d: _prompts(s, d).select("event_id", F.array_join("missing", ",").alias("missing")))
 # diffs
 _DIFF = "concat('diff --git a/o', o_orderkey, '.py b/o', o_orderkey, '.py\n--- a/o', o_orderkey, '.py\n+++ b/o', o_orderkey, '.py\n@@ -1 +', o_custkey, ',2 @@\n+one ', o_orderkey, '\n-two\n+++ three\n')"
 _q("scan_git_diff_added", "SELECT 'o'||o_orderkey||'.py' AS path, o_custkey AS line, 'one '||o_orderkey AS line_text FROM orders UNION ALL SELECT 'o'||o_orderkey||'.py', o_custkey+1, '++ three' FROM orders", lambda s, d: diff_added(_t(s, d, "orders").select(F.expr(_DIFF).alias("diff"))))
