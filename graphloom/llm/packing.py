@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, portions, vocabulary_path
+from .tokens import REMEMBERED, encoder, portions, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -110,11 +110,11 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
     return [w for w in windows if w]
 
 
-def _pack(vocabulary: str, capacity: int, end_id: int, pool_ids: int):
+def _pack(vocabulary: str, capacity: int, end_id: int, pool_ids: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode_all = encoder(vocabulary).encode_all
+        encode_all = encoder(vocabulary, remembered).encode_all
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         pool: list[tuple] = []  # document, start, ids, ids of the document
@@ -161,15 +161,16 @@ def _pack(vocabulary: str, capacity: int, end_id: int, pool_ids: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 2048, end_id: int = 1, pool_ids: int = 256 * 2048) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 2048, end_id: int = 1, pool_ids: int = 256 * 2048, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its whole text (null: empty) and the end id; every id lies in
     exactly one piece. Repeated rows are repeated documents; a null id stays null; other
-    columns are not read; an empty table gives no rows.
+    columns are not read; an empty table gives no rows. `remembered` bounds the bytes that a
+    worker spends on pieces it has met.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pack(vocabulary or vocabulary_path(), capacity, end_id, pool_ids), SCHEMA)
+    return rows.mapInArrow(_pack(vocabulary or vocabulary_path(), capacity, end_id, pool_ids, remembered), SCHEMA)
 
 
 def padding(sequence_length: int, capacity: int = 2048) -> int:

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, shuffle_width
+from .shared import lookup, new_path, shuffle_width
 from .simple8b import read_file, write_file
 from .tokens import PORTION, encoder, portions, vocabulary_path
 
@@ -76,8 +76,14 @@ def read_token_files(spark, path: str) -> DataFrame:
     # One row for each task of the writer, then for each file of a task: never a row per document.
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("own")).withColumn("before", F.sum("own").over(Window.orderBy("shard")) - F.col("own"))
     inside = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n_ids")
-    starts = files.select("shard", "piece", "n_ids").withColumn("inside", inside).join(shards, "shard").select("shard", "piece", (F.col("before") + F.col("inside")).alias("start"))
-    return files.select("shard", "piece", "data").join(starts, ["shard", "piece"]).select("start", "data").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = files.select("shard", "piece", "n_ids").withColumn("inside", inside).join(shards, "shard").select(_file_key().alias("key"), (F.col("before") + F.col("inside")).alias("start"))
+    # one row a file: the files' bytes don't move to meet their starts
+    placed = lookup(files.select(_file_key().alias("key"), "data"), starts, "key", files.count(), "inner")
+    return placed.select("start", "data").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _file_key() -> Column:
+    return F.shiftleft(F.col("shard"), 32) + F.col("piece")
 
 
 def token_file_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0) -> DataFrame:

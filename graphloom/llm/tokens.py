@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from .shared import kept
 
 #: Bytes that a worker spends on remembered pieces, in two generations; when the young one is full, the old one is forgotten.
-REMEMBERED = 96 << 20
+REMEMBERED = 144 << 20
 #: Bytes of a remembered piece beside its text and its ids: its place in a dict.
 _PLACE = 100
 #: Letters of which every version of Unicode says that they are letters, and runs of them before another ASCII character.
@@ -228,9 +228,9 @@ def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterato
         yield batch.slice(a, b - a)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for a worker's tasks in a row."""
-    return kept(f"encoder {path}", lambda: Encoder(path))
+    return kept(f"encoder {path} {remembered}", lambda: Encoder(path, remembered))
 
 
 def ids_of(blob: bytes) -> np.ndarray:
