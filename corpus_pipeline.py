@@ -63,7 +63,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence of at most 2048 ids; a null text is its end id alone."""
-    return packing.pack(docs)
+    # workers carry the memory of the stages before, so they remember fewer pieces
+    return packing.pack(docs, remembered=64 << 20)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]
