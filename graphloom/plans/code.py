@@ -280,3 +280,6 @@ _q("fn_relpath", "SELECT path, regexp_replace(path, '^go/', '') AS inside FROM f
 _q("fn_detect_language", "SELECT path, lang FROM files", lambda c: c.files.select("path", reduce(lambda out, x: F.when(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*x.extensions), x.name).otherwise(out), lg.LANGUAGES, F.lit(None).cast("string")).alias("lang")))
 QUERIES["join_fuzzy"] = lambda s, d: tools.close_names(index(s, d).symbols.select("name").distinct(), s.createDataFrame([("prise_20",), ("Prt21",), ("TestPrat2",)], "needle string"))
 QUERIES["win_shard_pack"] = lambda s, d: tools.packed_parts(index(s, d).symbols.withColumn("dir", directory(F.col("path"))).groupBy("dir", "path").agg(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("start_line").cast("string"), 5, " "), F.lit(" "), "signature"))).alias("lines")).select("dir", F.col("path").alias("place"), F.concat(F.array("path"), "lines").alias("lines")), 400)
+QUERIES["join_fuzzy_blocked"] = lambda s, d: tools.blocked_names(index(s, d).symbols.select("name").distinct(), s.createDataFrame([("prise_20",), ("Prt21",), ("TestPrat2",)], "needle string"))
+QUERIES["win_page_pack"] = lambda s, d: tools.paged(index(s, d).symbols.select(directory(F.col("path")).alias("dir"), F.xxhash64("path", "id").alias("place"), F.concat_ws(" ", "path", "signature").alias("line")), 400)
+_q("ex_reparse", "SELECT path, name, start_line FROM symbols WHERE lang='python'", lambda c: CodeMap.of(c.sources.where("lang = 'python'").withColumn("text", F.concat("text", F.lit("x = = 1\ndef broken(:\n")))).symbols.select("path", "name", "start_line"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..extraction import prose
+from ..extraction.tables import normal_path
 from ..functions import text as tx
 from ..functions import values as va
-from ..operators import activity, classify, prompts, transcripts
+from ..operators import activity, classify, graph, prompts, snapshot, transcripts
 from ..sources.files import diff_added, line_stats
 from ..sources.store import resolved, touched
 from . import relations as rel
@@ -135,6 +139,63 @@ _q("agg_pack_pairs", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderp
 _q("join_cache_left", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id", lambda s, d: _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels").select("doc_id", "quality"), "doc_id", "left"))
 
 
+def typed(f):
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f, na_action="ignore")
+
+    return F.pandas_udf(run, StringType())
+
+
+def _text_query(name: str, sql: str, f, text: str) -> None:
+    _q(name, f"SELECT p_partkey AS k, {sql} AS t FROM part", lambda s, d: _t(s, d, "part").select(F.col("p_partkey").alias("k"), typed(f)(F.expr(text)).alias("t")))
+
+
+_text_query("fn_clean_comment", "'One '||p_size||chr(10)||'two'", prose.clean_comment, "concat('/** One ', p_size, '\n *   two\n */')")
+_text_query("fn_clean_docstring", "'One '||p_size||chr(10)||chr(10)||'two'", prose.clean_docstring, "concat('r\"\"\"One ', p_size, '\n\n    two\n    \"\"\"')")
+_text_query("fn_readme_summary", "'It has '||p_size||' parts. And more.'", prose.readme_summary, "concat('---\nx: y\n---\n# Title\n[![b](u)](v)\n\nIt has [', p_size, ' parts](u).\nAnd more.\n\nNext')")
+_text_query("fn_jsonc", "CASE WHEN p_partkey%3=0 THEN NULL ELSE '{\"a\":['||p_size||'],\"b\":\"x // y, }\"}' END", prose.relaxed_json, "CASE WHEN p_partkey % 3 = 0 THEN '{a: 1' ELSE concat('{ // c\n \"b\": \"x // y, }\", /* d */ \"a\": [', p_size, ',],}') END")
+_text_query("fn_compact_list", "'a.b'||p_size||'.{x, y}'", lambda t: tx.compact_list(t.split(","), "."), "concat('a.b', p_size, '.x,a.b', p_size, '.y')")
+_q("fn_doc_summary_short", "SELECT p_partkey AS k, 'Adds '||p_size||' parts' AS t FROM part", lambda s, d: _t(s, d, "part").select(F.col("p_partkey").alias("k"), tx.summary_short(F.expr("concat('Adds ', p_size, '\n parts. More.\n\nLater')")).alias("t")))
+_q("fn_path_normalize", "SELECT p_partkey AS k, CASE p_partkey%3 WHEN 0 THEN 'a/c'||p_size WHEN 1 THEN '' END AS t FROM part", lambda s, d: _t(s, d, "part").select(F.col("p_partkey").alias("k"), normal_path(F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('./a//b/../c', p_size, '/') WHEN 1 THEN 'a/..' ELSE '../x' END")).alias("t")))
+_q("fn_stem", "SELECT p_partkey AS k, CASE p_partkey%3 WHEN 0 THEN 'a.b' WHEN 1 THEN '.env' ELSE 'run' END AS stem, CASE p_partkey%3 WHEN 0 THEN '.py' ELSE '' END AS ext FROM part", lambda s, d: _t(s, d, "part").withColumn("p", F.expr("CASE p_partkey % 3 WHEN 0 THEN 'x/a.b.py' WHEN 1 THEN '.env' ELSE 'bin/run' END")).select(F.col("p_partkey").alias("k"), tx.stem(F.col("p")).alias("stem"), tx.extension(F.col("p")).alias("ext")))
+_q("fn_format_percent", "SELECT p_partkey AS k, CASE p_partkey%3 WHEN 0 THEN '+'||p_size||'.0%' WHEN 1 THEN '−'||p_size||'.0%' ELSE '–' END AS t FROM part", lambda s, d: _t(s, d, "part").select(F.col("p_partkey").alias("k"), va.signed_percent(F.expr("CASE p_partkey % 3 WHEN 0 THEN p_size / 100 WHEN 1 THEN -p_size / 100 END")).alias("t")))
+_q("agg_latency_p95", duck("SELECT task, CASE WHEN n=1 THEN v[1] ELSE (v[j]*(20-d)+v[j+1]*d)/20 END AS p95 FROM (SELECT *, 19*(n+1)-20*j AS d FROM (SELECT *, least(greatest((19*(n+1))//20, 1), n-1) AS j FROM (SELECT task, list_sort(list(metric)) AS v, count(*) AS n FROM runs GROUP BY task)))", "runs"), lambda s, d: activity.exact_p95(rel.runs(s, d).select("task", F.col("metric").alias("x")), ["task"]).withColumn("p95", F.col("p95")))
+_q("agg_decision", f"SELECT event_id, CASE WHEN k%7=0 THEN NULL WHEN -(k%50)/100.0 > -0.10 OR (k%17)/100.0 > 0.10 THEN 'stop' WHEN -(k%50)/100.0 <= -0.20 AND (k%17)/100.0 <= 0.05 AND NOT (k%11<>0 AND (k%9)*8 < (k%5)*9) THEN 'go' ELSE 'narrow' END AS decision FROM {_K}", lambda s, d: _parts(s, d, tokens="CASE WHEN k % 7 <> 0 THEN cast(-(k % 50) / 100 as double) END", time="cast((k % 17) / 100 as double)", on="k % 9", on_n="CASE WHEN k % 11 <> 0 THEN 9 END", off="k % 5", off_n="8").select("event_id", activity.decision_column(*map(F.col, ("tokens", "time", "on", "on_n", "off", "off_n"))).alias("decision")))
+QUERIES["agg_bootstrap"] = lambda s, d: _interval(s, d)
+_q("join_go_package", "SELECT 'm/a'||l_partkey%50||'/x'||l_linenumber AS target, max(CASE WHEN p%3=0 THEN 'm/a'||p ELSE 'm' END) AS module FROM (SELECT DISTINCT l_partkey, l_linenumber, l_partkey%50 AS p FROM lineitem) GROUP BY 1", lambda s, d: graph.longest_prefix(_t(s, d, "lineitem").select(F.expr("concat('m/a', l_partkey % 50, '/x', l_linenumber)").alias("target")).distinct(), s.range(50).where("id % 3 = 0").select(F.concat(F.lit("m/a"), F.col("id").cast("string")).alias("module")).union(s.range(1).select(F.lit("m").alias("module")))))
+_q("join_alias_nearest", "SELECT 'w/p'||k||'/src/f'||k||'.ts' AS path, CASE WHEN k%2=0 THEN 'w/p'||k ELSE 'w' END AS dir FROM (SELECT p_partkey AS k FROM part)", lambda s, d: (lambda k: graph.nearest_config(k.select(F.expr("concat('w/p', k, '/src/f', k, '.ts')").alias("path")), k.where("k % 2 = 0").select(F.expr("concat('w/p', k)").alias("dir")).union(k.limit(1).select(F.lit("w").alias("dir")))))(_t(s, d, "part").select(F.col("p_partkey").alias("k"))))
+_q("ex_import_resolution_scope", "SELECT p_partkey AS k, p_partkey%5 < 3 AS everything FROM part", lambda s, d: _t(s, d, "part").select(F.col("p_partkey").alias("k"), feeds_resolution(F.expr("CASE p_partkey % 5 WHEN 0 THEN 'x/go.mod' WHEN 1 THEN 'tsconfig.base.json' WHEN 2 THEN 'a/package.json' WHEN 3 THEN 'a/my_go.mod' ELSE 'a/x.ts' END")).alias("everything")))
+_q("win_budget_fill", "SELECT p_partkey AS k, 'aaaa,cc' AS kept, 1 AS dropped FROM part", lambda s, d: _t(s, d, "part").select(F.col("p_partkey").alias("k"), classify.fill_budget(F.array(F.lit("aaaa"), F.lit("bbbbbb"), F.lit("cc")), 7).alias("f")).select("k", F.array_join("f.kept", ",").alias("kept"), "f.dropped"))
+_q("sink_skipped", duck("SELECT path, size FROM new WHERE path%6<>0 UNION ALL SELECT path, size FROM old WHERE path NOT IN (SELECT path FROM new) AND path%6<>0", "snapshots"), lambda s, d: (lambda old, new: snapshot.delete(snapshot.upsert(old, new), new.union(old).where("path % 6 = 0")))(*rel.snapshots(s, d)))
+_q("rd_skipped_states", duck("SELECT path, size FROM old WHERE path%100=0", "snapshots"), lambda s, d: rel.snapshots(s, d)[0].where("path % 100 = 0").select("path", "size"))
+_META = "SELECT c_mktsegment AS key, count(*)::VARCHAR AS value FROM customer GROUP BY 1"
+_meta = lambda s, d: _t(s, d, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.count("*").cast("string").alias("value"))
+_q("rd_meta", f"SELECT value FROM ({_META}) WHERE key='BUILDING'", lambda s, d: _meta(s, d).where("key = 'BUILDING'").select("value"))
+_q("sink_meta", f"SELECT key, CASE key WHEN 'BUILDING' THEN 'new' ELSE value END AS value FROM ({_META}) UNION ALL SELECT 'other', 'x'", lambda s, d: (lambda old, new: old.join(new.select("key"), "key", "left_anti").unionByName(new))(_meta(s, d), s.createDataFrame([("BUILDING", "new"), ("other", "x")], "key string, value string")))
+_q("st_incremental_index", duck("SELECT path, size FROM new", "snapshots"), lambda s, d: _increment(*rel.snapshots(s, d)))
+_q("sink_report_json", f"SELECT user_id AS session, '{{\"n\":'||count(*)||',\"session\":'||user_id||'}}' AS value FROM events GROUP BY user_id", lambda s, d: _t(s, d, "events").groupBy(F.col("user_id").alias("session")).agg(F.count("*").alias("n")).select("session", F.to_json(F.struct("n", "session")).alias("value")))
+_q("st_subagent_rows", f"SELECT user_id AS session, sum(k)::BIGINT AS tokens FROM {_K} WHERE event_type='error' GROUP BY 1", lambda s, d: rel.turns(s, d).where("kind = 'subagent'").withColumn("session", F.col("session").cast("long")).groupBy("session").agg(F.sum("tokens").cast("long").alias("tokens")))
+
+
+def _interval(s: SparkSession, d: str) -> DataFrame:
+    """The headline with its interval: one delta per task reaches the driver."""
+    m = activity.exact_medians(rel.runs(s, d).select("task", "condition", F.col("metric").alias("x")), ["task", "condition"]).groupBy("task").pivot("condition", ["A", "N"]).agg(F.first("median")).where("A is not null and N <> 0").orderBy("task")
+    found = activity.bootstrap([r["A"] / r["N"] - 1 for r in m.collect()])
+    return s.createDataFrame([found] if found else [], "low double, high double")
+
+
+def _increment(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The old state brought up to the new one by what changed alone."""
+    diff = snapshot.difference(old, new)
+    changed = new.join(diff.where("state <> 'gone'").select("path"), "path", "left_semi")
+    return snapshot.upsert(snapshot.delete(old, diff.where("state = 'gone'").select("path")), changed)
+
+
+def feeds_resolution(path):
+    """Whether a file's content decides how imports of other files resolve."""
+    return F.rlike(path, F.lit(r"(^|/)(go\.mod|Cargo\.toml|package\.json|(ts|js)config(\..*)?\.json)$"))
+
+
 def optional(rows: DataFrame, **wanted) -> DataFrame:
     """The rows that equal every value given; None asks for nothing."""
     for name, value in wanted.items():
