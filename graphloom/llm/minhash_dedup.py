@@ -238,10 +238,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
-    """The pairs with the set of one end. Pairs of an end that stands in more than HOT of them are dealt over several tasks, each with a copy of its set."""
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, made: list[DataFrame]) -> DataFrame:
+    """The pairs with the set of one end. Pairs of an end that stands in more than HOT of them are dealt over several tasks, each with a copy of its set. Tables that this takes go to `made`."""
     named = sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"))
     hot = settle(pairs.groupBy(end).count().where(F.col("count") > HOT).select(end, F.ceil(F.col("count") / HOT).cast("int").alias("tasks")), "hot")
+    made.append(hot)
     n = hot.count()
     if not n:
         return pairs.join(named, end)
@@ -251,8 +252,8 @@ def _with_set(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
     return dealt.join(copies, [end, "task"]).drop("task")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    both = _with_set(_with_set(pairs, sets, "a"), sets, "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, made: list[DataFrame]) -> DataFrame:
+    both = _with_set(_with_set(pairs, sets, "a", made), sets, "b", made)
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long, shared long, total long")
 
 
@@ -317,6 +318,7 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     row's own). Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    made: list[DataFrame] = []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = settle(rows.mapInArrow(_signatures(k), "id long, n_shingles long, mark binary, keys binary"), "signatures")
     # an id that stands in several rows is one document, by the least of its marks
@@ -340,7 +342,7 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     bits = spark.sparkContext.broadcast(_filter(wanted))
     likely = rows.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_sets(k, bits), "id long, mark binary, set binary")
     sets = settle(likely.join(wanted, ["id", "mark"], "left_semi").select("id", "set").dropDuplicates(["id"]), "sets")
-    checked = settle(_confirmed(pairs, sets), "checked")
+    checked = settle(_confirmed(pairs, sets, made), "checked")
     linked = F.expr(f"100 * shared >= {percent} * total")
     first = settle(components(checked.where(linked).select("a", "b")), "groups")
     # Pairs that were refused, though alike, go on to the hubs of each other's group.
@@ -358,17 +360,18 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     tries = ends.select(F.col("a").alias("x"), F.col("cb").alias("component")).union(ends.select(F.col("b").alias("x"), F.col("ca").alias("component"))).distinct()
     by_group = hubs.groupBy("component").agg(F.collect_list("hub").alias("hubs"))
     tries = lookup(tries, by_group, "component", by_group.count(), "inner").withColumn("hub", F.explode("hubs")).where("x <> hub").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = settle(_confirmed(tries, sets), "hubs")
+    more = settle(_confirmed(tries, sets, made), "hubs")
     final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(linked).select("a", "b"))), "groups")
     # The likeliest pairs of different groups first: what they join needs no more pairs. Then all that are left.
     crowded = settle(nodes.join(crowd, "id", "left_semi").select("id", "keys"), "crowd")
     for best in (BEST, 0):
         state = crowded.join(final, F.col("id") == F.col("node"), "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
         left = settle(_crowd_pairs(state, best).join(pairs, ["a", "b"], "left_anti"), "left")
-        more = settle(_confirmed(left, sets).where(linked).select("a", "b"), "crowd_links")
+        more = settle(_confirmed(left, sets, made).where(linked).select("a", "b"), "crowd_links")
+        made += [left, more]
         if not more.isEmpty():
             final = settle(components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
     groups = settle(nodes.join(final, F.col("id") == F.col("node"), "left").select(F.col("mark").alias("by"), F.coalesce("component", "id").alias("component")), "classes")
     out = lookup(marked.select("id", "n_shingles", "by"), groups, "by", nodes.count()).select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    discard(found, wanted, sets, checked, first, hubs, crowded)
+    discard(found, wanted, sets, checked, first, hubs, crowded, *made)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
