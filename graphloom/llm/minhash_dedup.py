@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, discard, lookup, release, settle, shuffle_width, sorted_groups
+from .shared import components, discard, lookup, release, settle, small_batches, shuffle_width, sorted_groups
 from .textbytes import SHINGLE_WORDS, shingles, slices, text_buffers
 
 TREES, DEPTH, LEAST = 20, 8, 3
@@ -228,6 +228,7 @@ def _sets(k: int, bits):
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         shared, total = [], []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
@@ -261,6 +262,7 @@ def _crowd(best: int):
     """Pairs of different groups of a region whose signatures agree, each in the first tree where both share a region; of a document in a block its `best` partners, or with 0 all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in sorted_groups(batches, ["tree", "prefix", "lo", "hi"]):
             tree, lo, hi = (table[k][0].as_py() for k in ("tree", "lo", "hi"))
             block, ids, group, minor = (table[k].to_numpy() for k in ("block", "id", "component", "minor"))
@@ -318,6 +320,7 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     row's own). Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     made: list[DataFrame] = []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = settle(rows.mapInArrow(_signatures(k), "id long, n_shingles long, mark binary, keys binary"), "signatures")

@@ -138,7 +138,8 @@ def chosen_rows(
     chosen = whole.union(taken).distinct().groupBy("leaf", "id").agg(F.sort_array(F.collect_list(F.struct("epoch", "leaf_budget"))).alias("epochs"))
     chosen = settle(chosen.select(F.col("leaf").alias("of_leaf"), F.col("id").alias("of_id"), "epochs"), "chosen")
     discard(light, sums, edge)
-    out = rows.select("row", "id", "leaf", "n").join(chosen, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("leaf") == F.col("of_leaf")))
+    # merged at every size: the documents move once, whatever the planner thinks of the chosen ones
+    out = rows.select("row", "id", "leaf", "n").join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("leaf") == F.col("of_leaf")))
     return out.select("row", F.col("n").alias("n_tokens"), F.explode("epochs").alias("e")).select("row", "e.epoch", "n_tokens", "e.leaf_budget")
 
 

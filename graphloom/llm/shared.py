@@ -79,9 +79,7 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Let go of what this worker keeps and give the memory back: a worker outlives the stage it was started for."""
-    if not _kept:
-        return
+    """Let go of what this worker keeps, and give back memory that earlier tasks left unused: a worker outlives the stage it was started for."""
     _kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -89,6 +87,16 @@ def release() -> None:
         trim(0)
 
 
+#: Bytes and rows of a batch that moves between the JVM and a worker. Spark's own are eight and five times as large, for each of several copies.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts and sets are wide rows: keep batches of them small in this session."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of equal keys of a partition that is sorted by them, one table each, across batch borders."""
     held: list[pa.Table] = []
