@@ -44,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = settle(near_duplicate_documents(keyed.select("id", "row.text"), "id").select("id", "kept"), "found")
     gone = found.where("not kept").select("id").distinct()
     repeated = settle(found.groupBy("id").count().where("count > 1").select("id"), "repeated")
-    stay = keyed.join(gone, "id", "left_anti")
+    # merged at every size: the documents move once, whatever the planner thinks of the ids
+    stay = keyed.join(gone.hint("merge"), "id", "left_anti")
     if repeated.isEmpty():
         discard(repeated)
         return stay.select("row.*")
