@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import tools
+from ..operators import classify, tools
 from ..sources import files as fs
 from ..sources import logs
 from ..sources.store import Store, append_rows, write_changed
-from . import code
+from . import code, rules
 from .relations import table
 
 QUERIES: dict = {}
@@ -172,3 +172,16 @@ def _updated(s: SparkSession, d: str) -> DataFrame:
 
 
 _q("update", f"WITH {code.DUCK} SELECT path, name, start_line FROM symbols WHERE starts_with(path, 'go/')", _updated)
+
+
+def _manifest(s: SparkSession, d: str) -> DataFrame:
+    """A manifest of each task as one JSON document on disk, its anchors and files in order, read back."""
+    path = folder(s, "manifests")
+    tags = classify.tags(rules._lines(s, d))
+    docs = tags.groupBy("task").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("path", "line", "kind", "note"))).alias("anchors"), F.count("*").alias("n"))).alias("text"))
+    write_changed(docs.select(F.concat("task", F.lit(".json")).alias("name"), "text"), path)
+    back = s.read.schema("anchors array<struct<path: string, line: long, kind: string, note: string>>, n long").json(path).withColumn("task", F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1))
+    return back.select("task", "n", F.element_at("anchors", 1)["path"].alias("first"))
+
+
+_q("sink_manifest", f"SELECT task, count(*) AS n, min(path) AS first FROM ({rules._TAGS}) GROUP BY task", _manifest)

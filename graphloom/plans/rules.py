@@ -206,3 +206,19 @@ def optional(rows: DataFrame, **wanted) -> DataFrame:
 def is_binary(content, sniff: int = 8192):
     """Whether a zero byte stands near the start."""
     return F.locate("00", F.regexp_replace(F.hex(F.substring(content, 1, sniff)), "(..)", "$1 ")) > 0
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    """The pilot report as rows: how many tasks on either side, medians of metrics, medians by category."""
+    t = activity.task_metrics(activity.tasks(rel.turns(s, d).drop("task")))
+    columns = ("part", "name", "off", "on")
+    as_double = lambda c: F.col(c).cast("double").alias(c)
+    counts = activity.pilot_overview(t).select(F.lit("tasks").alias("part"), F.col("tasks").cast("string").alias("name"), as_double("off"), as_double("on"))
+    medians = activity.pilot(t, ["tokens", "prompts", "answers", "corrections"]).select(F.lit("median").alias("part"), F.col("metric").alias("name"), "off", "on")
+    groups = activity.pilot_categories(t).select(F.lit("category").alias("part"), F.coalesce("category", F.lit("-")).alias("name"), F.col("median_off").alias("off"), F.col("median_on").alias("on"))
+    return counts.select(*columns).unionByName(medians.select(*columns)).unionByName(groups.select(*columns))
+
+
+_MORE = "rows AS (SELECT user_id, sum(k) AS tokens, sum(k%4) AS prompts, count_if(event_type='view') AS asked, bool_and(user_id%2=0) AS state, arg_max(c, event_id) FILTER (c IS NOT NULL) AS category FROM (SELECT *, CASE k%3 WHEN 0 THEN 'bugfix' WHEN 1 THEN 'feature' END AS c FROM " + _K + ") GROUP BY 1), t AS (SELECT *, least(asked, greatest(0, prompts-1)) AS answers, greatest(0, prompts-1)-least(asked, greatest(0, prompts-1)) AS corrections FROM rows)"
+_SIDES = "median({0}) FILTER (NOT state)::DOUBLE AS \"off\", median({0}) FILTER (state)::DOUBLE AS \"on\" FROM t"
+_q("report", f"WITH {_MORE} SELECT 'tasks' AS part, count(*)::VARCHAR AS name, count_if(NOT state)::DOUBLE AS \"off\", count_if(state)::DOUBLE AS \"on\" FROM t" + "".join(f" UNION ALL SELECT 'median', '{m}', {_SIDES.format(m)}" for m in ("tokens", "prompts", "answers", "corrections")) + f" UNION ALL SELECT 'category', coalesce(category, '-'), {_SIDES.format('tokens')} GROUP BY category", _report)
