@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_repair import repair_digest
 from .embedding_dedup import near_duplicate_vectors
+from .filter_audit import AUDIT_SQL, audit
 from .language_id import language_of
 from .minhash_dedup import near_duplicate_documents
 from .mixing import mix, source_levels
 from .packing import pack
+from .pattern_packing import pack_by_patterns
 from .quality_rules import quality_of
 from .recurrent_lm import model_scores
 from .token_files import token_file_digest
@@ -63,5 +66,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_mixing, op4_token_files, op5_language_id, op6_url_filter, op7_winnowing, op8_packing, op9_recurrent_lm, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_patterns(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_mixing, op4_token_files, op5_language_id, op6_url_filter, op7_winnowing, op8_packing, op9_recurrent_lm, op10_quality_rules, op11_conversation_repair, op12_pattern_packing, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op13_filter_audit": AUDIT_SQL}
