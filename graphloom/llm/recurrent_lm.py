@@ -5,9 +5,10 @@ as many as grow with the root of the number of distinct ones, each have an outpu
 own; words are factored into classes of similar total frequency, P(w) = P(class | state)
 P(w | class, state). All other training words share one more class, in which a word's
 probability is its share of the counts, and a word never seen has the smoothed share that
-the base gives it. The network is trained by truncated backpropagation on a fixed share of
-the training documents, whatever their number: learners train side by side with the state
-carried from window to window, and their parameters are averaged after each round. Whole
+the base gives it. The network is trained by truncated backpropagation on every training
+document: learners, one for each run of input partitions, train side by side with the state
+carried from window to window, and their parameters are averaged after each of a number of
+rounds, which share the documents out among them. No text is moved to train. Whole
 documents are scored the same way.
 """
 
@@ -23,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .shared import discard, settle
+from .shared import settle
 
 #: State and embedding sizes, and words whose counts every worker holds; others are joined.
-STATE, EMBED, TABLE_WORDS = 24, 24, 200_000
+STATE, EMBED, TABLE_WORDS = 16, 16, 200_000
 #: The network's words are LEAST_KNOWN, or PER_ROOT for each root of a distinct word where that is more.
 LEAST_KNOWN, PER_ROOT = 2_000, 1
-#: Share of the training words that the network learns from (of few words, LEAST_SAMPLE), rounds, words of a learner and of one call.
-SAMPLE_SHARE, LEAST_SAMPLE, ROUNDS, LEARNER_WORDS, CALL_WORDS = 1 / 32, 400_000, 2, 1_000_000, 100_000
+#: Rounds, words of a learner and of one call, and lanes of it.
+ROUNDS, LEARNER_WORDS, CALL_WORDS, LANES = 2, 1_000_000, 200_000, 256
 #: Parameters that move as one row when learners are averaged.
 PART = 1 << 15
 END = "\n"
@@ -112,59 +113,72 @@ def train(net: Network, streams: np.ndarray, cls: np.ndarray, slot: np.ndarray,
 
     `end` is the id behind which a document begins from a fresh state; no other id may stand for it.
     """
-    known = len(cls)
+    known, s = len(cls), STATE
     lanes, length = streams.shape
     state = state or Adam([np.zeros_like(p) for p in net.parts], [np.zeros_like(p) for p in net.parts])
-    m, v = state.m, state.v
-    h = np.zeros((lanes, STATE), np.float32)
+    h = np.zeros((lanes, s), np.float32)
     for at in range(0, length - 1, window):
         steps = min(window, length - 1 - at)
-        grads = [np.zeros_like(p) for p in net.parts]
-        ge, gwx, gwh, gb, gwc, gbc, gww, gbw = grads
-        kept, dhs = [], []
+        x, y = streams[:, at : at + steps].T, streams[:, at + 1 : at + steps + 1].T.ravel()
+        fresh = (x != end).astype(np.float32)[:, :, None]  # an end begins a document from a fresh state
+        e = net.embed[x]
+        gx = e @ net.wx + net.b
+        before, after, gates = np.empty((steps, lanes, s), np.float32), np.empty((steps, lanes, s), np.float32), []
         for k in range(steps):
-            x, y = streams[:, at + k], streams[:, at + k + 1]
-            h, cache = net.step(h * (x != end)[:, None], x)  # an end begins a document from a fresh state
-            kept.append((x, cache))
-            yc = np.where(y < known, cls[np.minimum(y, known - 1)] if known else 0, len(net.bc) - 1)
-            dc = _soft(h @ net.wc + net.bc)
-            dc[np.arange(lanes), yc] -= 1
-            gwc += h.T @ dc
-            gbc += dc.sum(0)
-            dh = dc @ net.wc.T
-            rows = np.flatnonzero(y < known)
-            order = rows[np.argsort(yc[rows], kind="stable")]
-            for part in np.split(order, np.flatnonzero(np.diff(yc[order])) + 1):
-                if not len(part):
-                    continue
-                c = yc[part[0]]
-                dw = _soft(h[part] @ net.ww[c] + net.bw[c])
-                dw[np.arange(len(part)), slot[y[part]]] -= 1
-                gww[c] += h[part].T @ dw
-                gbw[c] += dw.sum(0)
-                dh[part] += dw @ net.ww[c].T
-            dhs.append(dh)
+            before[k] = h = h * fresh[k]
+            gh = h @ net.wh
+            zr = sigmoid(gx[k, :, : 2 * s] + gh[:, : 2 * s])
+            z, r = zr[:, :s], zr[:, s:]
+            c = np.tanh(gx[k, :, 2 * s :] + r * gh[:, 2 * s :])
+            after[k] = h = h + z * (c - h)
+            gates.append((z, r, c, gh[:, 2 * s :]))
+        # the outputs of all steps together
+        out = after.reshape(-1, s)
+        inside = y < known
+        yc = np.where(inside, cls[np.minimum(y, known - 1)] if known else 0, len(net.bc) - 1)
+        dc = _soft(out @ net.wc + net.bc)
+        dc[np.arange(len(y)), yc] -= 1
+        gwc, gbc = out.T @ dc, dc.sum(0)
+        dout = dc @ net.wc.T
+        gww, gbw = np.zeros_like(net.ww), np.zeros_like(net.bw)
+        order = np.flatnonzero(inside)
+        order = order[np.argsort(yc[order], kind="stable")]
+        for part in np.split(order, np.flatnonzero(np.diff(yc[order])) + 1):
+            if not len(part):
+                continue
+            c = yc[part[0]]
+            own = out[part]
+            dw = _soft(own @ net.ww[c] + net.bw[c])
+            dw[np.arange(len(part)), slot[y[part]]] -= 1
+            gww[c] = own.T @ dw
+            gbw[c] = dw.sum(0)
+            dout[part] += dw @ net.ww[c].T
+        dout = dout.reshape(steps, lanes, s)
         back = np.zeros_like(h)
+        dg, dgh = np.empty((steps, lanes, 3 * s), np.float32), np.empty((steps, lanes, 3 * s), np.float32)
         for k in range(steps - 1, -1, -1):
-            x, (e, h0, z, r, c, ghc) = kept[k]
-            d = dhs[k] + back
-            dz, dcand = d * (c - h0) * z * (1 - z), d * z * (1 - c * c)
-            dr = dcand * ghc * r * (1 - r)
-            dg = np.concatenate([dz, dr, dcand], 1)
-            dgh = np.concatenate([dz, dr, dcand * r], 1)
-            gwx += e.T @ dg
-            gb += dg.sum(0)
-            gwh += h0.T @ dgh
-            np.add.at(ge, x, dg @ net.wx.T)
-            back = (d * (1 - z) + dgh @ net.wh.T) * (x != end)[:, None]
+            z, r, c, ghc = gates[k]
+            d = dout[k] + back
+            dz, dcand = d * (c - before[k]) * z * (1 - z), d * z * (1 - c * c)
+            dg[k, :, :s], dg[k, :, s : 2 * s], dg[k, :, 2 * s :] = dz, dcand * ghc * r * (1 - r), dcand
+            dgh[k] = dg[k]
+            dgh[k, :, 2 * s :] *= r
+            back = (d * (1 - z) + dgh[k] @ net.wh.T) * fresh[k]
+        dg, dgh = dg.reshape(-1, 3 * s), dgh.reshape(-1, 3 * s)
+        ge = np.zeros_like(net.embed)
+        flat_x = x.ravel()
+        order = np.argsort(flat_x, kind="stable")
+        first = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
+        ge[flat_x[order[first]]] = np.add.reduceat((dg @ net.wx.T)[order], first)
+        grads = [ge, e.reshape(-1, EMBED).T @ dg, before.reshape(-1, s).T @ dgh, dg.sum(0), gwc, gbc, gww, gbw]
         state.t += 1
         t = state.t
         speed = rate * min(1.0, t / 20) * (0.1 + 0.9 * (1 - at / length))
-        for p, g, a, b in zip(net.parts, grads, m, v, strict=True):
-            g = np.clip(g / (lanes * steps), -0.05, 0.05)
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            p -= (speed * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+        for p, g, a, b in zip(net.parts, grads, state.m, state.v, strict=True):
+            g = np.clip(g / np.float32(lanes * steps), -0.05, 0.05)
+            a += np.float32(0.1) * (g - a)
+            b += np.float32(0.01) * (g * g - b)
+            p -= np.float32(speed / (1 - 0.9**t)) * a / (np.sqrt(b * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
     return net
 
 
@@ -237,7 +251,7 @@ def learn(net: Network, texts: Iterator[str | None], words: dict[str, int], cls:
 
     def go() -> None:
         stream = np.concatenate(held)
-        lanes = min(128, max(1, len(stream) // 256))
+        lanes = min(LANES, max(1, len(stream) // 640))
         train(net, stream[: len(stream) // lanes * lanes].reshape(lanes, -1), cls, slot, end, rate=rate, state=state)
         held.clear()
 
@@ -290,28 +304,49 @@ _PARTS = "part int, weight double, sums binary"
 
 
 def trained(net: Network, texts: DataFrame, n_words: int, words: dict[str, int], cls: np.ndarray, slot: np.ndarray, rounds: int = ROUNDS, learner_words: int = LEARNER_WORDS) -> Network:
-    """The network after `rounds` rounds of learners over (text), their parameters averaged by their words after each.
+    """The network after `rounds` rounds of learners over (turn, text), their parameters averaged by their words after each.
 
-    The learners' number grows with the words; their sums meet in two steps, so no task takes
-    all of them, and the driver receives one network.
+    A document is learned in the round that its `turn`, a hash, names. Learners are the input's
+    partitions, or runs of them where these are small; their sums meet in two steps, so no task
+    takes all of them, and the driver receives one network.
     """
     context = texts.sparkSession.sparkContext
     learners = max(1, round(n_words / learner_words))
-    texts = settle(texts.repartition(learners, F.xxhash64("text")) if learners > 1 else texts.coalesce(1), "lessons")
     for k in range(rounds):
         shared = context.broadcast((net, cls, slot, words))
-        sums = texts.repartition(learners, F.xxhash64("text")) if learners > 1 else texts.coalesce(1)
-        sums = sums.sortWithinPartitions(F.xxhash64("text")).mapInArrow(_learner(shared, 0.02 / 2**k), _PARTS)
+        sums = texts.where(F.pmod("turn", F.lit(rounds)) == k).coalesce(learners).select("text").mapInArrow(_learner(shared, 0.02 / 2**k), _PARTS)
         fan = max(1, math.isqrt(learners))
         sums = sums.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan))).repartition(fan * 4, "part", "salt").drop("salt").mapInArrow(_summed, _PARTS)
         got = sums.repartition(4, "part").mapInArrow(_summed, _PARTS).orderBy("part").toArrow()
         shared.unpersist()
         if got.num_rows:
             net = unflat(net, np.concatenate([np.frombuffer(x) / w for x, w in zip(got["sums"].to_pylist(), got["weight"].to_pylist(), strict=True)]))
-    discard(texts)
     return net
 
 
+#: Steps of a power of two in which counts are told apart when the most frequent words are cut off.
+_FINE = 8
+
+
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """About the `most` most frequent words (word, count), falling, the end token always among them.
+
+    Where words of about the same count can't all be taken, a hash decides. What is summed is
+    one row for each eighth of a power of two, so the words never meet in one task.
+    """
+    bucket = F.floor(F.log2("count") * _FINE).cast("int")
+    sizes = sorted(((r["bucket"], r["count"]) for r in counts.groupBy(bucket.alias("bucket")).count().collect()), reverse=True)
+    edge, share, left = -1, 0.0, most
+    for at, n in sizes:
+        if n > left:
+            edge, share = at, left / n
+            break
+        left -= n
+    lucky = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share * (1 << 20)
+    some = counts.where((bucket > edge) | ((bucket == edge) & lucky) | (F.col("word") == END)).select("word", "count").toArrow()
+    return some.sort_by([("count", "descending"), ("word", "ascending")])
+
+
 def _scored(shared, group: int = 4096):
     """Per document the sums that need no table, and the words that are not among the `words`."""
 
@@ -344,35 +379,36 @@ def _scored(shared, group: int = 4096):
 _SUMS = "row long, doc_id long, network double, logs double, other_logs double, n_other long, n_tokens long, n_seen long, rare array<string>"
 
 
-def language_model_scores(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", least_known: int = LEAST_KNOWN, least_sample: int = LEAST_SAMPLE, table_words: int = TABLE_WORDS, learner_words: int = LEARNER_WORDS) -> DataFrame:
+def language_model_scores(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", least_known: int = LEAST_KNOWN, table_words: int = TABLE_WORDS, learner_words: int = LEARNER_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     train_on says which documents to learn from. Null texts count as empty: one end token.
     Repeated rows are documents of their own. With nothing to learn from, N and V are 0 and
     every token is unknown. Other columns are not read; an empty table gives no rows.
 
-    Counts of all words of the training documents are summed by word. The `table_words` most
-    frequent, the end token always among them, go to every worker, a table of fixed size;
-    counts of all other words are joined. The network learns from a share of the training
-    documents that a hash of id and text picks.
+    Counts of all words of the training documents are summed by word. About the `table_words`
+    most frequent, the end token always among them, go to every worker, a table of fixed size;
+    counts of all other words are joined. The network learns from all training documents.
     """
     clean = F.regexp_replace(lowered(F.col(text_col)), r"[\x20\x09-\x0D]+", " ")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), train_on.alias("learn"), clean.alias("text"))
     words = rows.where("learn").select(F.explode(F.concat(F.filter(F.split("text", " "), lambda w: w != ""), F.array(F.lit(END)))).alias("word"))
     counts = settle(words.groupBy("word").count(), "words")
     n, v = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    best = counts.orderBy((F.col("word") != END), F.desc("count"), "word").limit(max(1, table_words)).toArrow()
-    table = {w: i for i, w in enumerate(best["word"].to_pylist())}
-    c = best["count"].to_numpy().astype(np.float64)
+    best = most_frequent(counts, max(1, table_words))
+    # the end token has an output of its own, however rare it is
+    names = best["word"].to_pylist()
+    order = sorted(range(len(names)), key=lambda i: names[i] != END)
+    table = {names[i]: k for k, i in enumerate(order)}
+    c = best["count"].to_numpy().astype(np.float64)[order]
     top = c[: max(least_known, PER_ROOT * math.isqrt(int(v)))]
     classes = max(40, math.isqrt(len(top)))
     cls, slot = classes_of(top, classes)
     rest = float(n - top.sum()) + 0.5 * (v - len(top)) + 0.5
     net = new_network(top, rest, cls, slot, classes)
     if n:
-        share = max(SAMPLE_SHARE, min(1.0, least_sample / n))
-        learned = rows.where("learn").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(1 << 24)) < share * (1 << 24)).select("text")
-        net = trained(net, learned, int(n * share), {w: i for w, i in table.items() if i < len(top)}, cls, slot, learner_words=learner_words)
+        lessons = rows.where("learn").select(F.xxhash64("doc_id", "text").alias("turn"), "text")
+        net = trained(net, lessons, int(n), {w: i for w, i in table.items() if i < len(top)}, cls, slot, learner_words=learner_words)
     shared = docs.sparkSession.sparkContext.broadcast((net, cls, slot, table, c))
     sums = settle(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_scored(shared), _SUMS), "sums")
     rare = sums.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
