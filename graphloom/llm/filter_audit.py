@@ -26,6 +26,8 @@ FILTERS = "ABCDE"
 _UPPER, _SIGNS = bytes(range(65, 91)), b"#$%&*|"
 #: Rows whose bits a task holds at a time.
 CHUNK = 1 << 20
+#: A text that more than one in COMMON rows has is looked up in a broadcast table, of COMMON rows at most.
+COMMON = 4096
 #: Bits of a row above those of its filters.
 _GOOD, _TOXIC = 1 << len(FILTERS), 2 << len(FILTERS)
 _COUNTS = "part string, before int, filter string, alive long, removed long, good_lost long, toxic_lost long"
@@ -116,15 +118,18 @@ def outcomes(docs: DataFrame, labels: DataFrame) -> DataFrame:
     has the same one; a null id is neither smaller nor larger, and has no label. Repeated rows
     of an id are copies of none among themselves. Of several labels of an id, one that says so
     makes it good or toxic. Texts meet as digests of 128 bits: a copied text's least id comes
-    from a sum by digest, so its copies are never gathered, and the join of light rows with
-    these sums is one that Spark splits where a text is very common.
+    from a sum by digest, and copies of very common texts find it without being moved, so
+    they are never gathered.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").alias("text"))
     light = settle(rows.mapInArrow(_outcomes, "doc_id long, part string, bits int, digest binary"), "outcomes")
     named = light.where("doc_id is not null")
-    copied = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
-    marked = named.join(copied, "digest", "left")
+    copied = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    copied = settle(copied.where("least < most").select("digest", "least", "n"), "copied")
+    common = F.col("n") * COMMON > light.count()
+    often, seldom = F.broadcast(copied.where(common).drop("n")), copied.where(~common).drop("n")
+    marked = named.join(often, "digest").union(named.join(often, "digest", "left_anti").join(seldom, "digest", "left"))
     noted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
     noted = noted.groupBy("doc_id").agg(F.max(F.when(F.col("good"), _GOOD).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic"), _TOXIC).otherwise(0)).alias("toxic"))
     copy = F.when(F.col("doc_id") > F.col("least"), 1 << FILTERS.index("E")).otherwise(0)

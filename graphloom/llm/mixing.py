@@ -48,8 +48,9 @@ def share_out(budget: float, weights: np.ndarray, room: np.ndarray) -> np.ndarra
 
 
 def leaf_budgets(leaves: list[tuple[tuple, float]], total: float, weights: Mapping[tuple, float], epochs: float) -> dict[tuple, float]:
-    """Budget of each leaf. leaves: (path, tokens); a leaf can give epochs * tokens."""
+    """Budget of each leaf. leaves: (path, tokens); a leaf can give epochs * tokens, but nothing where a node on its path weighs 0."""
     out: dict[tuple, float] = {}
+    gives = {path: epochs * tokens if all(weights.get(path[: k + 1], 1.0) > 0 for k in range(len(path))) else 0.0 for path, tokens in leaves}
 
     def descend(prefix: tuple, members: list[tuple[tuple, float]], budget: float) -> None:
         depth = len(prefix)
@@ -60,7 +61,7 @@ def leaf_budgets(leaves: list[tuple[tuple, float]], total: float, weights: Mappi
         for path, tokens in members:
             children.setdefault(path[: depth + 1], []).append((path, tokens))
         names = sorted(children, key=str)
-        room = np.array([epochs * sum(t for _, t in children[c]) for c in names])
+        room = np.array([sum(gives[path] for path, _ in children[c]) for c in names])
         for c, b in zip(names, share_out(budget, np.array([float(weights.get(c, 1.0)) for c in names]), room), strict=True):
             descend(c, children[c], float(b))
 

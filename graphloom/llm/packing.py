@@ -72,13 +72,16 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
 def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Near-equal windows of at most `capacity`, as pieces (item, start in it, length).
 
-    The number of windows starts at the least possible and rises, by one in 64 at most, while
-    differencing leaves a window above the capacity. Only what doesn't fit even then is cut:
+    The number of windows starts at the least possible and rises by one at a time while
+    differencing leaves a window above the capacity, until the windows are a 64th more, once at
+    least, but never so far that a quarter is padding. Only what doesn't fit even then is cut:
     the end of the longest item of a window that is too full goes to the windows with most room.
     """
     total = sum(sizes)
     least = max(1, -(-total // capacity))
-    for ways in range(least, least + least // 64 + 1):
+    for ways in range(least, least + max(1, least // 64) + 1):
+        if ways > least and (ways * capacity - total) * 4 > ways * capacity:
+            break
         found = differencing(sizes, ways)
         if max(sum(sizes[i] for i in w) for w in found) <= capacity:
             break

@@ -290,5 +290,6 @@ def pack_by_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_of(packed_bins(histogram, capacity))
     before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    numbered = pieces.join(before, ["part", "length"]).withColumn("number", F.col("number") + F.col("before"))
+    # it has a row for every length of every task, so it is merged, never broadcast
+    numbered = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("number", F.col("number") + F.col("before"))
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(_place(plan), _PLACED)

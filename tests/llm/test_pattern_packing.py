@@ -138,3 +138,30 @@ def test_odd_rows(spark, witness):
     assert packing.pack_by_patterns(df.limit(0)).count() == 0
     again = df.where("doc_id = 6").union(df.where("doc_id = 6")).withColumn("doc_id", df.doc_id * None)
     assert [r["doc_id"] for r in packing.pack_by_patterns(again).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("windows", range(3, 21))
+def test_differencing_takes_one_more_window_before_it_cuts(windows):
+    """Items of a little more than a third of the capacity: they need half as many windows again, or one more is enough."""
+    from graphloom.llm.packing import differencing, windows_of
+
+    r = random.Random(windows)
+    for _ in range(40):
+        sizes = [r.randint(150, 700) for _ in range(windows * 2)]
+        capacity = -(-sum(sizes) // windows)
+        fits = [w for w in (windows, windows + 1) if (w * capacity - sum(sizes)) * 4 <= w * capacity and max(sum(sizes[i] for i in x) for x in differencing(sizes, w)) <= capacity]
+        found = windows_of(sizes, capacity)
+        assert sum(n for w in found for _, _, n in w) == sum(sizes)
+        assert max(sum(n for _, _, n in w) for w in found) <= capacity
+        pieces = sum(map(len, found))
+        assert pieces == len(sizes) if fits else pieces > len(sizes)
+        assert len(found) == (fits[0] if fits else len(found))
+
+
+def test_budgets_pass_over_what_weighs_nothing():
+    from graphloom.llm.mixing import leaf_budgets
+
+    got = leaf_budgets([(("a", "x"), 100.0), (("a", "y"), 10.0), (("b", "z"), 100.0)], 100.0, {("a", "x"): 0.0}, 1.0)
+    assert got == {("a", "x"): 0.0, ("a", "y"): 10.0, ("b", "z"): pytest.approx(90.0)}
+    got = leaf_budgets([(("a", "x"), 100.0), (("b", "z"), 30.0)], 100.0, {("a",): 0.0}, 1.0)
+    assert got == {("a", "x"): 0.0, ("b", "z"): pytest.approx(30.0)}
