@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,20 @@ PART = 1 << 15
 END = "\n"
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BYTES = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
+
+
+def words_of(text: Column) -> Column:
+    """The lower-cased words of a text, and an end."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + "\t\n\x0b\x0c\r", _LOWER + "     ")
+    return F.concat(F.filter(F.split(spaced, " "), lambda w: w != ""), F.array(F.lit(END)))
+
+
+def lowered(texts: pa.Array) -> Iterator[bytes]:
+    """The lower-cased bytes of texts; their split() gives the words."""
+    for text in texts.cast(pa.binary()):
+        yield (text.as_py() or b"").translate(_BYTES)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -242,8 +255,8 @@ def unflat(net: Network, values: np.ndarray) -> Network:
     return Network(*(v.reshape(p.shape).astype(np.float32) for v, p in zip(np.split(values, cuts), net.parts, strict=True)))
 
 
-def learn(net: Network, texts: Iterator[str | None], words: dict[str, int], cls: np.ndarray, slot: np.ndarray, rate: float, call: int = CALL_WORDS) -> int:
-    """Train `net` on texts one after the other, `call` words at a time; how many words it learned from. A text of any length is cut among calls."""
+def learn(net: Network, texts: Iterator[bytes] | Iterator[str], words: dict, cls: np.ndarray, slot: np.ndarray, rate: float, call: int = CALL_WORDS) -> int:
+    """Train `net` on lower-cased texts one after the other, `call` words at a time; how many words it learned from. A text of any length is cut among calls."""
     known, end = len(cls), words[END]
     state = Adam([np.zeros_like(p) for p in net.parts], [np.zeros_like(p) for p in net.parts])
     held: list[np.ndarray] = []
@@ -256,12 +269,13 @@ def learn(net: Network, texts: Iterator[str | None], words: dict[str, int], cls:
         held.clear()
 
     for text in texts:
-        tokens = (text or "").split(" ")
-        for a in range(0, len(tokens), call):
-            ids = [min(words.get(w, known), known) for w in tokens[a : a + call] if w]
+        tokens = text.split()
+        for a in range(0, len(tokens) or 1, call):
+            some = tokens[a : a + call]
+            ids = np.fromiter(map(words.get, some, repeat(known)), np.int64, len(some))
             if a + call >= len(tokens):
-                ids.append(end)
-            held.append(np.array(ids, np.int64))
+                ids = np.append(ids, end)
+            held.append(ids)
             size += len(ids)
             if size >= call:
                 go()
@@ -278,7 +292,7 @@ def _learner(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, cls, slot, words = shared.value
         net = unflat(net, flat(net))
-        n = learn(net, (t for batch in batches for t in batch.column("text").to_pylist()), words, cls, slot, rate)
+        n = learn(net, (t for batch in batches for t in lowered(batch.column("text"))), words, cls, slot, rate)
         if n:
             values = flat(net).astype(np.float64) * n
             cuts = range(0, len(values), PART)
@@ -355,20 +369,20 @@ def _scored(shared, group: int = 4096):
         known, here, get = len(cls), len(words), words.get
         logs = np.append(np.log10(counts + 0.5), 0.0)
         for batch in batches:
-            texts = batch.column("text")
+            texts = lowered(batch.column("text"))
             for lo in range(0, batch.num_rows, group):
                 docs, sums, rare, sizes, others, seen = [], [], [], [], [], []
-                for i in range(lo, min(lo + group, batch.num_rows)):
-                    tokens = [w for w in (texts[i].as_py() or "").split(" ") if w]
-                    tokens.append(END)
-                    at = np.fromiter((get(w, here) for w in tokens), np.int32, len(tokens))
+                for text in islice(texts, group):
+                    tokens = text.split()
+                    at = np.fromiter(map(get, tokens, repeat(here)), np.int32, len(tokens))
                     far = np.flatnonzero(at == here)
+                    at = np.append(at, get(END, here))
                     docs.append(np.minimum(at, known))
                     sums.append(float(logs[at].sum()))
                     others.append((float(logs[at[at >= known]].sum()), int((at >= known).sum())))
-                    rare.append([tokens[j] for j in far])
-                    sizes.append(len(tokens))
-                    seen.append(len(tokens) - len(far))
+                    rare.append([tokens[j].decode() for j in far])
+                    sizes.append(len(at))
+                    seen.append(len(tokens) - len(far) + (END in words))
                 model = score_documents(net, cls, slot, docs, words.get(END, known), group)
                 columns = [pa.array(model / math.log(10)), pa.array(sums), pa.array([x for x, _ in others]), pa.array([n for _, n in others], pa.int64()), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(rare, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(docs)), batch.column("doc_id").slice(lo, len(docs)), *columns], names=["row", "doc_id", "network", "logs", "other_logs", "n_other", "n_tokens", "n_seen", "rare"])
@@ -390,16 +404,15 @@ def language_model_scores(docs: DataFrame, train_on: Column, id_col: str = "doc_
     most frequent, the end token always among them, go to every worker, a table of fixed size;
     counts of all other words are joined. The network learns from all training documents.
     """
-    clean = F.regexp_replace(lowered(F.col(text_col)), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), train_on.alias("learn"), clean.alias("text"))
-    words = rows.where("learn").select(F.explode(F.concat(F.filter(F.split("text", " "), lambda w: w != ""), F.array(F.lit(END)))).alias("word"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), train_on.alias("learn"), F.col(text_col).alias("text"))
+    words = rows.where("learn").select(F.explode(words_of(F.col("text"))).alias("word"))
     counts = settle(words.groupBy("word").count(), "words")
     n, v = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     best = most_frequent(counts, max(1, table_words))
     # the end token has an output of its own, however rare it is
     names = best["word"].to_pylist()
     order = sorted(range(len(names)), key=lambda i: names[i] != END)
-    table = {names[i]: k for k, i in enumerate(order)}
+    table = {END if names[i] == END else names[i].encode(): k for k, i in enumerate(order)}
     c = best["count"].to_numpy().astype(np.float64)[order]
     top = c[: max(least_known, PER_ROOT * math.isqrt(int(v)))]
     classes = max(40, math.isqrt(len(top)))

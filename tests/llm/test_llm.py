@@ -184,7 +184,7 @@ def test_windows_hold_every_item_once(sizes):
             at += n
         assert at == s
     least = -(-sum(sizes) // 300)
-    assert len(windows) <= least + least // 64
+    assert len(windows) <= least + max(1, least // 64)  # the number rises once at least where the capacity is exceeded
 
 
 def test_budgets():
