@@ -193,7 +193,10 @@ def resolve(targets: DataFrame, files: DataFrame, go_modules: DataFrame) -> Data
     order = F.struct(-F.col("n"), -shared_steps(directory(F.col("file")), here), F.length("file"), F.col("file"))
     by_name = hits.where(reachable).groupBy("path", "target").agg(F.min_by("file", order).alias("resolved"))
 
-    rooted = targets.where("lang = 'go'").join(F.broadcast(go_modules), (F.col("target") == F.col("module")) | F.startswith("target", F.concat(F.col("module"), F.lit("/"))))
+    # a module that an import lies in is one of the import's own beginnings
+    steps = F.split("target", "/")
+    within = targets.where("lang = 'go'").withColumn("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))))
+    rooted = within.join(go_modules, "module")
     rest = F.regexp_replace(F.expr("substring(target, length(module) + 1, length(target))"), "^/+|/+$", "")
     rooted = rooted.withColumn("folder", F.coalesce(normal_path(_joined(F.col("root"), rest)), F.lit("")))
     nearest = rooted.groupBy("path", "target").agg(F.max_by("folder", F.length("module")).alias("folder"))
