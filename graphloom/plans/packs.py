@@ -12,7 +12,7 @@ from .stacks import build_files
 
 BUDGET = 60
 #: What an event asks, by its id modulo 6; {k} is a Python part's key.
-_K = "(event_id % 50) * 4 + 4"
+_K = "(event_id % 49) * 4 + 4"
 PROMPTS = ("Please fix `price_{k}` for me", "Change ts/base.ts and gin too", "Add a cache to py/tests", "Rename `build_{k}x` now", "thanks", "See part_{k}.py and `Part{k}.price_{k}`")
 
 
