@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -81,7 +81,10 @@ class CodeMap:
 
     @cached_property
     def imports(self) -> DataFrame:
-        return resolve(self.targets, self.files, modules(self.sources))
+        from . import aliases
+
+        relative, of_crates = aliases.crate_imports(self.targets, self.files, self.sources)
+        return resolve(self.targets, self.files, modules(self.sources), (aliases.bare_imports(self.targets, self.files, self.sources), relative), of_crates)
 
 
 def modules(sources: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def normal_path(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit("/")) | (F.get(step, F.lit(0)) == ".."), F.lit(None)).otherwise(F.array_join(step, "/"))
 
 
-def _joined(a: Column, b: Column) -> Column:
+def join_path(a: Column, b: Column) -> Column:
     return F.when(a == "", b).otherwise(F.concat(a, F.lit("/"), b))
 
 
@@ -113,7 +116,17 @@ def shared_steps(a: Column, b: Column) -> Column:
 
 def _choices(base: Column, x: lg.Language) -> Column:
     """Files that a path without its extension may name, in order."""
-    return F.array(*[F.concat(base, F.lit(e)) for e in x.tries], *[_joined(base, F.lit(p)) for p in x.package_files])
+    return F.array(*[F.concat(base, F.lit(e)) for e in x.tries], *[join_path(base, F.lit(p)) for p in x.package_files])
+
+
+def named_files(base: Column, x: lg.Language) -> Column:
+    """Files that a path as written may name, in order: itself, what its ending stands for, with an ending, as a folder."""
+    ext = F.regexp_extract(base, r"(\.[^./]+)$", 1)
+    stem = F.regexp_replace(base, r"\.[^./]+$", "")
+    names = F.array(base)
+    for old, new in x.stand_ins.items():
+        names = F.concat(names, F.when(ext == old, F.array(*[F.concat(stem, F.lit(n)) for n in new])).otherwise(F.array().cast("array<string>")))
+    return F.concat(names, _choices(base, x))
 
 
 def _relative(targets: DataFrame) -> DataFrame:
@@ -124,20 +137,15 @@ def _relative(targets: DataFrame) -> DataFrame:
     for x in lg.LANGUAGES:
         own = targets.where(F.col("lang").isin(*plain) if x.name == plain[0] else F.col("lang") == x.name)
         if x.strategy == "path" and x.name not in plain[1:]:
-            base = normal_path(_joined(here, F.col("target")))
-            ext = F.regexp_extract(base, r"(\.[^./]+)$", 1)
-            stem = F.regexp_replace(base, r"\.[^./]+$", "")
-            names = F.array(base)
-            for old, new in x.stand_ins.items():
-                names = F.concat(names, F.when(ext == old, F.array(*[F.concat(stem, F.lit(n)) for n in new])).otherwise(F.array().cast("array<string>")))
-            found = own.where(F.rlike("target", F.lit(r"^\.\.?(/|$)"))).withColumn("names", F.concat(names, _choices(base, x)))
+            base = normal_path(join_path(here, F.col("target")))
+            found = own.where(F.rlike("target", F.lit(r"^\.\.?(/|$)"))).withColumn("names", named_files(base, x))
             parts.append(found.select("path", "lang", "target", F.posexplode("names").alias("rank", "file")))
         elif x.strategy == "module" and x.name == "python":
             dots = F.length(F.regexp_extract("target", r"^(\.+)", 1))
-            anchor = normal_path(_joined(here, F.array_join(F.array_repeat(F.lit(".."), (dots - 1).cast("int")), "/")))
+            anchor = normal_path(join_path(here, F.array_join(F.array_repeat(F.lit(".."), (dots - 1).cast("int")), "/")))
             rest = F.filter(F.split(F.regexp_replace("target", r"^\.+", ""), r"\."), lambda p: F.rlike(p, F.lit(r"^\w+$")))
-            heads = F.transform(F.when(F.size(rest) > 0, F.sequence(F.size(rest), F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: _joined(anchor, F.array_join(F.slice(rest, 1, n), "/")))
-            names = F.concat(F.flatten(F.transform(heads, lambda h: _choices(h, x))), F.array(*[_joined(anchor, F.lit(p)) for p in x.package_files]))
+            heads = F.transform(F.when(F.size(rest) > 0, F.sequence(F.size(rest), F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: join_path(anchor, F.array_join(F.slice(rest, 1, n), "/")))
+            names = F.concat(F.flatten(F.transform(heads, lambda h: _choices(h, x))), F.array(*[join_path(anchor, F.lit(p)) for p in x.package_files]))
             parts.append(own.where(F.startswith("target", F.lit("."))).withColumn("names", names).select("path", "lang", "target", F.posexplode("names").alias("rank", "file")))
     out = parts[0]
     for p in parts[1:]:
@@ -151,28 +159,33 @@ def tail(path: Column) -> Column:
 
 
 def _suffixes(targets: DataFrame) -> DataFrame:
-    """(path, lang, target, n, wanted): for every module name its endings of paths, longer names first."""
+    """(path, lang, target, n, wanted): for every module name its endings of paths, whole names, then longer ones first."""
     parts = []
     for x in lg.LANGUAGES:
         if x.strategy == "module":
             sep = x.separator.replace(".", r"\.")
-            every = F.split("target", sep)
-            odd = F.array_position(F.transform(every, lambda p: ~F.rlike(p, F.lit(r"^\w+$"))), F.lit(True))
-            names = F.when(odd > 0, F.slice(every, F.lit(1), (odd - 1).cast("int"))).otherwise(every)
-            skip = F.size(F.filter(F.slice(names, 1, 1), lambda p: p.isin("crate", "self", "super"))) if x.name == "rust" else F.lit(0)
-            names = F.slice(names, skip + 1, F.greatest(F.size(names) - skip, F.lit(0)))
-            heads = F.transform(F.when(F.size(names) > 0, F.sequence(F.size(names), F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(names, F.lit(1), n), "/").alias("base")))
-            own = targets.where((F.col("lang") == x.name) & ~F.startswith("target", F.lit("."))).withColumn("h", F.explode(heads))
-            parts.append(own.withColumn("wanted", F.explode(_choices(F.col("h.base"), x))).select("path", "lang", "target", F.col("h.n").alias("n"), "wanted"))
+            # `self` and `super` start at the importer; what stands before a crate's own names is left out, if two stay
+            lead = r"(?:crate::)?(?!(?:crate|self|super)(?:::|$))" if x.name == "rust" else ""
+            named = targets.where(F.col("lang") == x.name).select("path", "lang", "target", F.regexp_extract("target", rf"^{lead}(\w+(?:{sep}\w+)*)(?={sep}|$)", 1).alias("named")).where("named <> ''")
+            names = F.split("named", sep)
+            starts = F.sequence(F.lit(0), F.greatest(F.size(names) - 2, F.lit(0))) if x.name == "rust" else F.array(F.lit(0))
+            begun = named.select("path", "lang", "target", names.alias("names"), F.explode(starts).alias("start"))
+            lengths = F.sequence(F.size("names") - F.col("start"), F.when(F.col("start") > 0, 2).otherwise(1), F.lit(-1))
+            heads = begun.select("path", "lang", "target", "names", "start", F.explode(lengths).alias("n"))
+            based = heads.select("path", "lang", "target", F.struct("start", (-F.col("n")).alias("n")).alias("n"), F.array_join(F.slice("names", F.col("start") + 1, F.col("n")), "/").alias("base"))
+            parts.append(based.select("path", "lang", "target", "n", F.explode(_choices(F.col("base"), x)).alias("wanted")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def resolve(targets: DataFrame, files: DataFrame, go_modules: DataFrame) -> DataFrame:
+def resolve(targets: DataFrame, files: DataFrame, go_modules: DataFrame, declared: tuple[DataFrame, ...] = (), otherwise: DataFrame | None = None) -> DataFrame:
     """(path, target, resolved): the file, or for Go the folder, that an import names; null for one outside the tree or of itself.
 
+    `declared` are tables of imports that no rule of paths or module names reads, `otherwise` one
+    of those that count where these rules find nothing.
+
     Every join is on whole names or on the last two of them, so no table meets another as a whole.
     """
     known = files.select(F.col("path").alias("file"), F.col("lang").alias("file_lang"))
@@ -190,7 +203,7 @@ def resolve(targets: DataFrame, files: DataFrame, go_modules: DataFrame) -> Data
     hits = hits.join(packages, ["lang", "root"], "left_anti")
     here = directory(F.col("path"))
     reachable = F.col("nested") | (F.col("root") == "") | (here == F.col("root")) | F.startswith(here, F.concat(F.col("root"), F.lit("/"))) | ((F.col("lang") == "python") & name_of(F.col("root")).isin("src"))
-    order = F.struct(-F.col("n"), -shared_steps(directory(F.col("file")), here), F.length("file"), F.col("file"))
+    order = F.struct("n", -shared_steps(directory(F.col("file")), here), F.length("file"), F.col("file"))
     by_name = hits.where(reachable).groupBy("path", "target").agg(F.min_by("file", order).alias("resolved"))
 
     # a module that an import lies in is one of the import's own beginnings
@@ -198,10 +211,12 @@ def resolve(targets: DataFrame, files: DataFrame, go_modules: DataFrame) -> Data
     within = targets.where("lang = 'go'").withColumn("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))))
     rooted = within.join(go_modules, "module")
     rest = F.regexp_replace(F.expr("substring(target, length(module) + 1, length(target))"), "^/+|/+$", "")
-    rooted = rooted.withColumn("folder", F.coalesce(normal_path(_joined(F.col("root"), rest)), F.lit("")))
+    rooted = rooted.withColumn("folder", F.coalesce(normal_path(join_path(F.col("root"), rest)), F.lit("")))
     nearest = rooted.groupBy("path", "target").agg(F.max_by("folder", F.length("module")).alias("folder"))
     folders = files.where("lang = 'go'").select(F.col("dir").alias("folder")).distinct()
     by_folder = nearest.join(folders, "folder", "left_semi").select("path", "target", F.col("folder").alias("resolved"))
 
-    found = exact.unionByName(by_name).unionByName(by_folder).where("path <> resolved")
+    if otherwise is not None:
+        by_name = by_name.unionByName(otherwise.join(by_name, ["path", "target"], "left_anti"))
+    found = reduce(DataFrame.unionByName, declared, exact.unionByName(by_name).unionByName(by_folder)).where("path <> resolved")
     return targets.select("path", "target").distinct().join(found, ["path", "target"], "left")

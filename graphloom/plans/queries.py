@@ -140,9 +140,9 @@ def explainable(name: str, spark: SparkSession, sf_dir: str) -> str:
     return QUERIES[name](spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-from . import code, disk, packs, rules, stacks  # noqa: E402
+from . import aliases, code, disk, packs, rules, stacks  # noqa: E402
 
-QUERIES |= code.QUERIES | rules.QUERIES | disk.QUERIES | stacks.QUERIES | packs.QUERIES
-ORACLES |= code.ORACLES | rules.ORACLES | disk.ORACLES | stacks.ORACLES | packs.ORACLES
+QUERIES |= code.QUERIES | rules.QUERIES | disk.QUERIES | stacks.QUERIES | packs.QUERIES | aliases.QUERIES
+ORACLES |= code.ORACLES | rules.ORACLES | disk.ORACLES | stacks.ORACLES | packs.ORACLES | aliases.ORACLES
 # Pairs of every test with every file of its folder, without SQL.
 QUERIES["join_test_same_package_whole"] = lambda s, d: graph.tests_in_package(rel.files(s, d))
