@@ -3,6 +3,8 @@
 import ast
 
 from graphloom.extraction.source import _nodes, parse
+from graphloom.extraction.tables import CodeMap
+from graphloom.operators import tools
 from graphloom.plans import code
 
 DATA = "/root/testdata/sf0.001"
@@ -24,3 +26,9 @@ def test_every_node_of_a_tree_is_read_once():
 
 def test_calls_begin_at_whole_words():
     assert set(parse("é9ab(1); a$b<T>(2); x.y (3)\n", "typescript").refs) == {(1, "ab"), (1, "a$b"), (1, "y")}
+
+
+def test_outlines_take_no_group_a_file(spark):
+    c = CodeMap.of(spark.createDataFrame([("a.py", "python", "class A:\n    class B:\n        def c(self):\n            pass\n\ndef d():\n    pass\n"), ("empty.py", "python", "")], "path string, lang string, text string"))
+    assert [(r["name"], r["depth"], r["id"]) for r in tools.outline(c, "a.py").collect()] == [("A", 0, 1), ("B", 1, 2), ("c", 2, 3), ("d", 0, 4)]
+    assert tools.outline(c).count() == 4 and "FlatMapGroups" not in plan(tools.outline(c))
