@@ -32,3 +32,8 @@ def test_outlines_take_no_group_a_file(spark):
     c = CodeMap.of(spark.createDataFrame([("a.py", "python", "class A:\n    class B:\n        def c(self):\n            pass\n\ndef d():\n    pass\n"), ("empty.py", "python", "")], "path string, lang string, text string"))
     assert [(r["name"], r["depth"], r["id"]) for r in tools.outline(c, "a.py").collect()] == [("A", 0, 1), ("B", 1, 2), ("c", 2, 3), ("d", 0, 4)]
     assert tools.outline(c).count() == 4 and "FlatMapGroups" not in plan(tools.outline(c))
+
+
+def test_deepest_symbols_take_no_group_a_file(spark):
+    df = code.QUERIES["win_tree_indent"](spark, DATA)
+    assert "FlatMapGroups" not in plan(df) and {r["deepest"] for r in df.select("deepest").distinct().collect()} == {0, 1}
