@@ -8,6 +8,7 @@ from graphloom.operators import tools
 from graphloom.plans import code
 
 DATA = "/root/testdata/sf0.001"
+GO = [(f"p/a{i}.go", "go", f"package p\n\nfunc F{i}() {{}}\n") for i in range(3)] + [(f"p/a{i}_test.go", "go", "package p\n") for i in (1, 2, 5)]
 
 
 def plan(df):
@@ -34,6 +35,21 @@ def test_outlines_take_no_group_a_file(spark):
     assert tools.outline(c).count() == 4 and "FlatMapGroups" not in plan(tools.outline(c))
 
 
+def test_pairs_of_a_package_are_listed_after_the_others(spark):
+    rows = tools.placed_tests(CodeMap.of(spark.createDataFrame(GO, "path string, lang string, text string")))
+    got = {(r["source"], r["place"]): (r["test"], r["reasons"]) for r in rows.collect()}
+    t = [f"p/a{i}_test.go" for i in (1, 2, 5)]
+    own, package = ["is a test file"], ["package"]
+    assert got == {
+        **{("p/a0.go", n + 1): (x, package) for n, x in enumerate(t)},
+        ("p/a1.go", 1): (t[0], ["name", "package"]), ("p/a1.go", 2): (t[1], package), ("p/a1.go", 3): (t[2], package),
+        ("p/a2.go", 1): (t[1], ["name", "package"]), ("p/a2.go", 2): (t[0], package), ("p/a2.go", 3): (t[2], package),
+        (t[0], 1): (t[0], own), (t[0], 2): (t[1], package), (t[0], 3): (t[2], package),
+        (t[1], 1): (t[1], own), (t[1], 2): (t[0], package), (t[1], 3): (t[2], package),
+        (t[2], 1): (t[2], own), (t[2], 2): (t[0], package), (t[2], 3): (t[1], package),
+    }
+
+
 def test_deepest_symbols_take_no_group_a_file(spark):
     df = code.QUERIES["win_tree_indent"](spark, DATA)
     assert "FlatMapGroups" not in plan(df) and {r["deepest"] for r in df.select("deepest").distinct().collect()} == {0, 1}
