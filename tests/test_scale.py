@@ -4,7 +4,7 @@ import ast
 
 from graphloom.extraction.source import _nodes, parse
 from graphloom.extraction.tables import CodeMap
-from graphloom.operators import tools
+from graphloom.operators import packs, tools
 from graphloom.plans import code
 
 DATA = "/root/testdata/sf0.001"
@@ -50,6 +50,22 @@ def test_pairs_of_a_package_are_listed_after_the_others(spark):
     }
 
 
+def test_prompts_that_ask_the_same_are_answered_once(spark, monkeypatch):
+    asked = []
+    lines_of = packs.lines_of
+
+    def counted(prompts, *args):
+        asked.append(prompts.count())
+        return lines_of(prompts, *args)
+
+    monkeypatch.setattr(packs, "lines_of", counted)
+    index = CodeMap.of(spark.createDataFrame([("a.py", "python", "def price_of():\n    pass\n")], "path string, lang string, text string"))
+    rows = [(i, "Fix `price_of`") for i in range(40)] + [(40, "See a.py"), (40, "Fix `price_of`"), (41, None), (41, "See a.py")]
+    got = {r["id"]: r["pack"] for r in packs.context_packs(spark.createDataFrame(rows, "id long, text string"), index, 100).collect()}
+    assert asked == [4] and len(got) == 42 and len({got[i] for i in range(40)}) == 1
+    assert "price_of" in got[40] and "- a.py (python" in got[40] and got[41].split("\n")[1].startswith("- a.py")
+
+
 def test_deepest_symbols_take_no_group_a_file(spark):
     df = code.QUERIES["win_tree_indent"](spark, DATA)
     assert "FlatMapGroups" not in plan(df) and {r["deepest"] for r in df.select("deepest").distinct().collect()} == {0, 1}
