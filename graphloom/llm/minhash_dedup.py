@@ -9,8 +9,9 @@ NEAR in order. Candidates are confirmed on full sets. So far nothing but the ord
 crowded region may hide pairs that part early. They come in two steps: a document refused by a
 member of a group is confirmed against the hubs of that group, which joins most of a crowd
 cheaply; then whatever a region of more than REGION documents still holds in different groups
-is compared pair by pair, with no bound on partners: whole signatures in blocks, and full
-sets where those agree as alike documents do.
+is compared pair by pair, with no bound on partners: whole signatures in blocks, and in a
+block full sets where those agree as alike documents do. A block gives the groups that it
+joins, so a crowd of n documents that stay apart makes no rows of n^2 pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, discard, lookup, release, settle, small_batches, shuffle_width, sorted_groups
+from .shared import FEW, Forest, components, discard, lookup, release, settle, small_batches, shuffle_width, sorted_groups, star_batch
 from .textbytes import SHINGLE_WORDS, shingles, slices, text_buffers
 
 TREES, DEPTH, LEAST = 20, 8, 3
@@ -32,10 +33,10 @@ REGION, NEAR = 10, 2
 HUBS, PARTS = 12, 64
 #: Pairs of one document that meet in a task; the pairs of a hub are dealt over more.
 HOT = 512
-#: Documents of a region are compared in blocks of BLOCK. Of TREES * DEPTH values, a pair at 75 percent agrees in fewer than ALIKE once in millions.
-BLOCK, ALIKE = 512, 92
-#: Partners of a document and block that are tried first, before all of them are.
-BEST = 4
+#: Documents of a region are compared in blocks of BLOCK, fewer where these hold more than BLOCK_SHINGLES. Of TREES * DEPTH values, a pair at 75 percent agrees in fewer than ALIKE once in millions.
+BLOCK, BLOCK_SHINGLES, ALIKE = 512, 1 << 20, 92
+#: Shingles of two blocks that are counted at once.
+AT_ONCE = 2048
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,55 +259,100 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, made: list[DataFrame]) -> Data
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long, shared long, total long")
 
 
-def _crowd(best: int):
-    """Pairs of different groups of a region whose signatures agree, each in the first tree where both share a region; of a document in a block its `best` partners, or with 0 all."""
+_AT = ["tree", "prefix", "lo", "hi"]
+_OPEN = "tree int, prefix long, lo int, hi int, block int, id long, component long"
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of two blocks whose signature agrees with one of another group, each pair in the first tree where both share a region."""
+    release()
+    for table in sorted_groups(batches, _AT):
+        tree, lo, hi = (table[k][0].as_py() for k in ("tree", "lo", "hi"))
+        block, ids, group = (table[k].to_numpy() for k in ("block", "id", "component"))
+        key = np.frombuffer(b"".join(table["keys"].to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), TREES * DEPTH)
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        apart = group[a][:, None] != group[b][None, :]
+        for t in range(tree):
+            x = key[:, t * DEPTH : t * DEPTH + LEAST]
+            apart &= (x[a][:, None, :] != x[b][None, :, :]).any(2)
+        if not apart.any():
+            continue
+        agree = np.zeros(apart.shape, np.int16)
+        for i in range(TREES * DEPTH):
+            agree += key[a, i][:, None] == key[b, i][None, :]
+        apart &= agree >= ALIKE
+        asked = np.zeros(len(ids), bool)
+        asked[a] |= apart.any(1)
+        asked[b] |= apart.any(0)
+        if asked.any():
+            yield from table.drop_columns(["keys"]).filter(pa.array(asked)).combine_chunks().to_batches()
+
+
+def shared_sizes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the sets `a` with the sets `b`, which name places in `sets`."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what stands in one set alone is in no intersection
+    common = times > 1
+    number = np.cumsum(common) - 1
+    held = common[place]
+    owner, number = owner[held], number[place[held]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for first in range(0, int(common.sum()), AT_ONCE):
+        some = slice(*np.searchsorted(number, [first, first + AT_ONCE]).tolist())
+        there = np.zeros((len(sets), AT_ONCE), np.float32)
+        there[owner[some], number[some] - first] = 1
+        out += (there[a] @ there[b].T).astype(np.int64)
+    return out
+
+
+def _joined(percent: int):
+    """The groups that links between two blocks join, as (group, least of the groups it is joined with)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for table in sorted_groups(batches, ["tree", "prefix", "lo", "hi"]):
-            tree, lo, hi = (table[k][0].as_py() for k in ("tree", "lo", "hi"))
-            block, ids, group, minor = (table[k].to_numpy() for k in ("block", "id", "component", "minor"))
-            key = np.frombuffer(b"".join(table["keys"].to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), TREES * DEPTH)
-            a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            open_ = group[a][:, None] != group[b][None, :]
-            if lo == hi:
-                open_ &= ids[a][:, None] < ids[b][None, :]
-            for t in range(tree):
-                x = key[:, t * DEPTH : t * DEPTH + LEAST]
-                open_ &= (x[a][:, None, :] != x[b][None, :, :]).any(2)
-            if not open_.any():
-                continue
-            agree = np.zeros(open_.shape, np.int16)
-            for i in range(TREES * DEPTH):
-                agree += key[a, i][:, None] == key[b, i][None, :]
-            agree[~open_ | (agree < ALIKE)] = 0
-            chosen = agree > 0
-            if best:
-                first = np.zeros_like(chosen)
-                if agree.shape[1]:
-                    np.put_along_axis(first, np.argpartition(-agree, min(best, agree.shape[1]) - 1, 1)[:, :best], True, 1)
-                if minor[b].any():
-                    np.put_along_axis(first, np.argpartition(-agree, min(best, agree.shape[0]) - 1, 0)[:best], True, 0)
-                chosen &= first
-            r, c = np.nonzero(chosen)
-            x, y = ids[a[r]], ids[b[c]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        for table in sorted_groups(batches, _AT):
+            block, group = (table[k].to_numpy() for k in ("block", "component"))
+            a, b = (np.flatnonzero(block == table[k][0].as_py()) for k in ("lo", "hi"))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["set"]]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            shared = shared_sizes(sets, a, b)
+            linked = 100 * shared >= percent * (sizes[a][:, None] + sizes[b][None, :] - shared)
+            r, c = np.nonzero(linked & (group[a][:, None] != group[b][None, :]))
+            forest = Forest()
+            for x, y in np.unique(np.column_stack([group[a[r]], group[b[c]]]), axis=0).tolist():
+                forest.union(x, y)
+            if forest.parent:
+                yield star_batch(forest)
 
     return run
 
 
-def _crowd_pairs(crowd: DataFrame, best: int) -> DataFrame:
-    """Pairs left to confirm among (id, keys, component) of crowded regions. The largest group of a region isn't compared within itself."""
+def _blocks(crowd: DataFrame) -> DataFrame:
+    """Rows of crowded regions of (id, n_shingles, keys, component) in pairs of blocks, sorted by _AT. The largest group of a region isn't compared within itself."""
     step = 2 * DEPTH
     at = crowd.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("prefix", F.conv(F.hex(F.expr(f"substring(keys, tree * {step} + 1, {2 * LEAST})")), 16, 10).cast("long"))
-    groups = at.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("groups"))
-    regions = groups.where("groups > 1").select("tree", "prefix", F.col("most.component").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("minors"))
-    rows = at.join(regions, ["tree", "prefix"]).withColumn("minor", F.when(F.col("component") != F.col("major"), 1).otherwise(0))
-    rows = rows.withColumn("block", F.expr("cast(if(minor = 1, pmod(xxhash64(id), minors), minors + pmod(xxhash64(id), majors)) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, if(minor = 1, minors + majors, minors) - 1)")))
-    rows = rows.select("tree", "prefix", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "minor", "keys")
-    order = ["tree", "prefix", "lo", "hi"]
-    return rows.repartition(shuffle_width(crowd.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_crowd(best), "a long, b long")
+    groups = at.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "component", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("groups"))
+    many = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    regions = groups.where("groups > 1").select("tree", "prefix", F.col("most.component").alias("major"), many(F.col("most.n"), F.col("most.size")).alias("majors"), many(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("minors"))
+    rows = at.join(regions, ["tree", "prefix"]).withColumn("minor", F.col("component") != F.col("major"))
+    rows = rows.withColumn("block", F.expr("cast(if(minor, pmod(xxhash64(id), minors), minors + pmod(xxhash64(id), majors)) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, if(minor, minors + majors, minors) - 1)")))
+    rows = rows.select("tree", "prefix", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "keys")
+    return rows.repartition(shuffle_width(crowd.sparkSession), *_AT).sortWithinPartitions(*_AT)
+
+
+def _crowd_links(crowd: DataFrame, sets: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
+    """(a, b): groups that links of crowded regions join, for documents (id, n_shingles, keys, component)."""
+    asked = settle(_blocks(crowd).mapInArrow(_open, _OPEN), "open")
+    made.append(asked)
+    # a few rows go to the sets, which then move only where they are asked for
+    few = asked.count() <= FEW
+    held = sets.join(F.broadcast(asked), "id") if few else sets.join(asked, "id")
+    held = held.repartition(shuffle_width(crowd.sparkSession), *_AT).sortWithinPartitions(*_AT)
+    return held.select(*_AT, "block", "component", "set").mapInArrow(_joined(percent), "a long, b long")
 
 
 def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:
@@ -328,7 +374,8 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     repeated = settle(signed.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.min("mark").alias("least")).where("rows > 1").select("id", "least"), "repeated")
     n_repeated = repeated.count()
     marked = lookup(signed, repeated, "id", n_repeated).withColumn("by", F.coalesce("least", "mark")).drop("least") if n_repeated else signed.withColumn("by", F.col("mark"))
-    nodes = marked.where("mark is not null and id is not null and mark = by").groupBy("mark").agg(F.min(F.struct("id", "keys")).alias("first")).select("mark", "first.*")
+    own = F.when(F.col("id").isNotNull() & (F.col("mark") == F.col("by")), F.struct("id", "n_shingles", "keys"))
+    nodes = marked.where("by is not null").groupBy(F.col("by").alias("mark")).agg(F.min(own).alias("first"), F.count("*").alias("rows")).where("first is not null").select("mark", "rows", "first.*")
     nodes = settle(nodes, "nodes")
     step = 2 * DEPTH
     order = nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "keys")
@@ -340,11 +387,13 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     found = settle(near.where("a is not null").select("a", "b").union(across).distinct(), "pairs")
     discard(near)
     pairs, crowd = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("id"))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
     wanted = settle(wanted.join(nodes.select("id", "mark"), "id"), "wanted")
     bits = spark.sparkContext.broadcast(_filter(wanted))
     likely = rows.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_sets(k, bits), "id long, mark binary, set binary")
-    sets = settle(likely.join(wanted, ["id", "mark"], "left_semi").select("id", "set").dropDuplicates(["id"]), "sets")
+    # without repeated ids no set stands twice, and the few that the filter let through meet no pair
+    sets = likely.join(wanted, ["id", "mark"], "left_semi").select("id", "set").dropDuplicates(["id"]) if n_repeated else likely.select("id", "set")
+    sets = settle(sets, "sets")
     checked = settle(_confirmed(pairs, sets, made), "checked")
     linked = F.expr(f"100 * shared >= {percent} * total")
     first = settle(components(checked.where(linked).select("a", "b")), "groups")
@@ -365,16 +414,16 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     tries = lookup(tries, by_group, "component", by_group.count(), "inner").withColumn("hub", F.explode("hubs")).where("x <> hub").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = settle(_confirmed(tries, sets, made), "hubs")
     final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(linked).select("a", "b"))), "groups")
-    # The likeliest pairs of different groups first: what they join needs no more pairs. Then all that are left.
-    crowded = settle(nodes.join(crowd, "id", "left_semi").select("id", "keys"), "crowd")
-    for best in (BEST, 0):
-        state = crowded.join(final, F.col("id") == F.col("node"), "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
-        left = settle(_crowd_pairs(state, best).join(pairs, ["a", "b"], "left_anti"), "left")
-        more = settle(_confirmed(left, sets, made).where(linked).select("a", "b"), "crowd_links")
-        made += [left, more]
-        if not more.isEmpty():
-            final = settle(components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
-    groups = settle(nodes.join(final, F.col("id") == F.col("node"), "left").select(F.col("mark").alias("by"), F.coalesce("component", "id").alias("component")), "classes")
-    out = lookup(marked.select("id", "n_shingles", "by"), groups, "by", nodes.count()).select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    # Then all pairs of crowded regions that are left.
+    crowded = settle(nodes.join(crowd, "id", "left_semi").select("id", "n_shingles", "keys"), "crowd")
+    state = crowded.join(final, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "keys", F.coalesce("component", "id").alias("component"))
+    joined = settle(_crowd_links(state, sets, percent, made), "crowd_links")
+    made.append(joined)
+    if not joined.isEmpty():
+        final = settle(components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joined)), "groups")
+    # a row that shares its set with none and whose set is linked with none is its own group
+    groups = nodes.join(final, F.col("id") == F.col("node"), "left").where("rows > 1 or component is not null")
+    groups = settle(groups.select(F.col("mark").alias("by"), F.coalesce("component", "id").alias("component")), "classes")
+    out = lookup(marked.select("id", "n_shingles", "by"), groups, "by", groups.count()).select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     discard(found, wanted, sets, checked, first, hubs, crowded, *made)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
