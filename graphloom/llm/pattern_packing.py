@@ -35,6 +35,8 @@ CLASSES, PATTERN_DOCS, FIT_STEPS = 128, 4, 600
 SLACK = 1 / 64
 #: Share of a fitted count that is dealt by its pattern. The rest of every length stays for best fit, which needs partners to choose from.
 DEALT = 1 / 2
+#: Bytes of text that are encoded together: the more, the fewer pieces are looked up again.
+PORTION = 4 << 20
 
 
 def classes_of(histogram: dict[int, int], capacity: int, most: int = CLASSES) -> list[list[int]]:
@@ -241,7 +243,7 @@ def _encode(vocabulary: str, capacity: int, end_id: int, remembered: int):
         encode_all = word_encoder(vocabulary, remembered).encode_all
         met = [0] * (capacity + 1)
         for batch in batches:
-            for portion in portions(batch, 1):
+            for portion in portions(batch, 1, PORTION):
                 ids, sizes = encode_all(portion.column(1), end_id)
                 rows, first = [], 0
                 for doc, n in zip(portion.column(0).to_pylist(), sizes.tolist(), strict=True):

@@ -3,6 +3,8 @@
 No pre-token spans a space and none depends on what stands beyond one, so a text is cut at
 its spaces and every different piece is encoded on its own. Runs of letters not met before
 go to the library many at a time: each is one pre-token, and its last id closes a word.
+Pieces of ASCII letters with signs behind them, most of all, are parted in Arrow, so that only
+different runs and what follows them are looked up.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .shared import kept
-from .tokens import _AT_ONCE, _LONGEST, REMEMBERED, _Memory, _split
+from .tokens import _AT_ONCE, _LONGEST, _SIGNS, REMEMBERED, _Memory, _split
 
 WORD_END = "</w>"
 
@@ -87,6 +89,43 @@ class WordEncoder:
             found[i] = runs[run] + self._tail(tail) if tail else runs[run]
         return found
 
+    def _known(self, runs: list[str]) -> list[bytes]:
+        """Ids of each of these different runs of letters."""
+        found = list(map(self.known.young.get, runs))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            found[i] = self.known.get(runs[i])
+            if found[i] is None:
+                new.append(i)
+        for i, ids in zip(new, self._runs([runs[i] for i in new]), strict=True):
+            found[i] = self.known.young[runs[i]] = ids
+        return found
+
+    def all_pieces(self, pieces: pa.StringArray) -> list[bytes]:
+        """Ids of each of these different pieces of texts."""
+        self.known.age()
+        self.tails.age()
+        run = pc.ascii_rtrim(pieces, characters=_SIGNS)
+        plain = pc.and_(pc.ascii_is_alpha(run), pc.less_equal(pc.binary_length(pieces), _LONGEST))
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        runs = run.filter(plain).dictionary_encode()
+        of_runs = self._known(runs.dictionary.to_pylist())
+        out = [of_runs[i] for i in runs.indices.to_pylist()]
+        whole = pieces.filter(plain)
+        begins = pc.binary_length(runs.dictionary).to_numpy()[runs.indices.to_numpy()]
+        more = np.flatnonzero(pc.binary_length(whole).to_numpy() > begins)
+        for i, begin, text in zip(more.tolist(), begins[more].tolist(), whole.take(pa.array(more)).to_pylist(), strict=True):
+            out[i] += self._tail(text[begin:])
+        if len(at) == len(pieces):
+            return out
+        odd = np.ones(len(pieces), bool)
+        odd[at] = False
+        found = np.empty(len(pieces), object)
+        found[at] = out
+        found[odd] = self.pieces(pieces.filter(pa.array(odd)).to_pylist())
+        return found.tolist()
+
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's with end_id behind them, and how many ids each text has with it."""
         n = len(texts)
@@ -96,16 +135,18 @@ class WordEncoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         table = split.flatten().dictionary_encode()
-        names = table.dictionary.to_pylist()
-        ids = [*self.pieces(names), np.array([end_id], "<u4").tobytes()]
-        at = np.insert(table.indices.to_numpy(), offsets[1:], len(names))
+        ids = [*self.all_pieces(table.dictionary), np.array([end_id], "<u4").tobytes()]
+        at = np.insert(table.indices.to_numpy(), offsets[1:], len(table.dictionary))
         # the ids of every different piece once, and from there to each place where the piece stands
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        widths = sizes[at]
-        ends = np.cumsum(widths)
-        place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends + widths, widths) + np.arange(int(ends[-1]))
+        kind = np.int32 if int(sizes[at].sum()) + int(sizes.sum()) < 1 << 31 else np.int64
+        begins = (np.cumsum(sizes) - sizes).astype(kind)
+        widths = sizes.astype(kind)[at]
+        ends = np.cumsum(widths, dtype=kind)
+        place = np.repeat(begins[at] - ends + widths, widths)
+        place += np.arange(len(place), dtype=kind)
         last = offsets[1:] + np.arange(n)
-        return np.frombuffer(b"".join(ids), "<u4")[place], np.diff(ends[last], prepend=0)
+        return np.frombuffer(b"".join(ids), "<u4")[place], np.diff(ends[last].astype(np.int64), prepend=0)
 
 
 def word_encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
