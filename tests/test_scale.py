@@ -1,6 +1,7 @@
 """What large trees and logs ask of the plans: work dealt over tasks, nothing grouped that needn't meet."""
 
 import ast
+import re
 
 from graphloom.extraction.source import _nodes, parse
 from graphloom.extraction.tables import CodeMap
@@ -69,3 +70,21 @@ def test_prompts_that_ask_the_same_are_answered_once(spark, monkeypatch):
 def test_deepest_symbols_take_no_group_a_file(spark):
     df = code.QUERIES["win_tree_indent"](spark, DATA)
     assert "FlatMapGroups" not in plan(df) and {r["deepest"] for r in df.select("deepest").distinct().collect()} == {0, 1}
+
+
+def test_deepest_symbols_are_found_in_a_file_s_own_row(spark):
+    assert "posexplode" not in plan(code.QUERIES["win_tree_indent"](spark, DATA))
+    rows = [("a.py", "python", "class A:\n    class B:\n        def c(self):\n            pass\n"), ("a.py", "python", "def d():\n    pass\n"), ("b.go", "go", "package b\n\nfunc F() {}\n"), ("empty.py", "python", ""), ("null.py", "python", None)]
+    got = tools.deepest(CodeMap.of(spark.createDataFrame(rows, "path string, lang string, text string"))).collect()
+    assert {r["path"]: r["deepest"] for r in got} == {"a.py": 2, "b.go": 0} and len(got) == 2
+
+
+def test_no_pattern_is_made_of_a_name(monkeypatch):
+    def text(i):
+        return f"class A{i}:\n    def b{i}(self, x={{'a': 1}}):  # a\n        return c{i}(x)\n\nasync  def किताब{i}(): pass\nLIMIT_{i} = 1\n"
+
+    parse(text(0), "python")
+    made = []
+    monkeypatch.setattr(re._compiler, "compile", made.append)
+    found = parse(text(1), "python")
+    assert not made and [(s.name, s.signature) for s in found.symbols] == [("A1", "A1"), ("b1", "b1(self, x={'a': 1})"), ("किताब1", "किताब1()"), ("LIMIT_1", "LIMIT_1 = 1")]
