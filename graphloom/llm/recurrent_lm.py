@@ -33,6 +33,8 @@ STATE, EMBED, TABLE_WORDS = 16, 16, 200_000
 LEAST_KNOWN, PER_ROOT = 2_000, 1
 #: Rounds, words of a learner and of one call, and lanes of it.
 ROUNDS, LEARNER_WORDS, CALL_WORDS, LANES = 2, 1_000_000, 200_000, 256
+#: Rows of states that are scored together at least, so that the last long documents don't go a few words at a time.
+SCORED_ROWS = 1 << 14
 #: Parameters that move as one row when learners are averaged.
 PART = 1 << 15
 END = "\n"
@@ -107,9 +109,41 @@ def new_network(counts: np.ndarray, others: float, cls: np.ndarray, slot: np.nda
     return Network(rnd(len(counts) + 1, EMBED), rnd(EMBED, 3 * STATE), rnd(STATE, 3 * STATE), np.zeros(3 * STATE, np.float32), rnd(STATE, classes + 1) * 0.1, bc - bc.max(), rnd(classes, STATE, slots) * 0.1, bw)
 
 
-def _soft(a: np.ndarray) -> np.ndarray:
-    a = np.exp(a - a.max(1, keepdims=True))
-    return a / a.sum(1, keepdims=True)
+def _logits(s: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Outputs (outputs x rows) less each row's largest. The rows lie along the last axis, where a sum over few outputs is a sum of long vectors."""
+    a = w.T @ s.T
+    a += b[:, None]
+    a -= a.max(0)
+    return a
+
+
+def _slopes(s: np.ndarray, w: np.ndarray, b: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the outputs' weights and biases and of the rows, where each row is to give its pick."""
+    a = _logits(s, w, b)
+    np.exp(a, out=a)
+    a /= a.sum(0)
+    a[pick, np.arange(len(pick))] -= 1
+    return (a @ s).T, a.sum(1), (w @ a).T
+
+
+def _picked(s: np.ndarray, w: np.ndarray, b: np.ndarray, pick: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Log-probability of each row's pick, `most` rows at a time, so that they stay near the processor."""
+    out = np.empty(len(s), np.float32)
+    for lo in range(0, len(s), most):
+        a = _logits(s[lo : lo + most], w, b)
+        some = pick[lo : lo + most]
+        own = a[some, np.arange(len(some))]
+        np.exp(a, out=a)
+        out[lo : lo + most] = own - np.log(a.sum(0))
+    return out
+
+
+def _by_class(yc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """These rows in order of their class, and (class, begin, end) of each class among them."""
+    rows = rows[np.argsort(yc[rows], kind="stable")]
+    of = yc[rows]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return rows, list(zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True))
 
 
 @dataclass
@@ -127,8 +161,10 @@ def train(net: Network, streams: np.ndarray, cls: np.ndarray, slot: np.ndarray,
     `end` is the id behind which a document begins from a fresh state; no other id may stand for it.
     """
     known, s = len(cls), STATE
+    held = np.bincount(cls, minlength=len(net.bw)).tolist()  # slots behind a class's words stand for nothing
     lanes, length = streams.shape
     state = state or Adam([np.zeros_like(p) for p in net.parts], [np.zeros_like(p) for p in net.parts])
+    spare = [np.empty_like(p) for p in net.parts]
     h = np.zeros((lanes, s), np.float32)
     for at in range(0, length - 1, window):
         steps = min(window, length - 1 - at)
@@ -149,23 +185,15 @@ def train(net: Network, streams: np.ndarray, cls: np.ndarray, slot: np.ndarray,
         out = after.reshape(-1, s)
         inside = y < known
         yc = np.where(inside, cls[np.minimum(y, known - 1)] if known else 0, len(net.bc) - 1)
-        dc = _soft(out @ net.wc + net.bc)
-        dc[np.arange(len(y)), yc] -= 1
-        gwc, gbc = out.T @ dc, dc.sum(0)
-        dout = dc @ net.wc.T
+        gwc, gbc, dout = _slopes(out, net.wc, net.bc, yc)
+        dout = np.ascontiguousarray(dout)
         gww, gbw = np.zeros_like(net.ww), np.zeros_like(net.bw)
-        order = np.flatnonzero(inside)
-        order = order[np.argsort(yc[order], kind="stable")]
-        for part in np.split(order, np.flatnonzero(np.diff(yc[order])) + 1):
-            if not len(part):
-                continue
-            c = yc[part[0]]
-            own = out[part]
-            dw = _soft(own @ net.ww[c] + net.bw[c])
-            dw[np.arange(len(part)), slot[y[part]]] -= 1
-            gww[c] = own.T @ dw
-            gbw[c] = dw.sum(0)
-            dout[part] += dw @ net.ww[c].T
+        order, parts = _by_class(yc, np.flatnonzero(inside))
+        own, picks, more = out[order], slot[y[order]], np.empty((len(order), s), np.float32)
+        for c, lo, hi in parts:
+            n = held[c]
+            gww[c, :, :n], gbw[c, :n], more[lo:hi] = _slopes(own[lo:hi], net.ww[c, :, :n], net.bw[c, :n], picks[lo:hi])
+        dout[order] += more
         dout = dout.reshape(steps, lanes, s)
         back = np.zeros_like(h)
         dg, dgh = np.empty((steps, lanes, 3 * s), np.float32), np.empty((steps, lanes, 3 * s), np.float32)
@@ -187,11 +215,22 @@ def train(net: Network, streams: np.ndarray, cls: np.ndarray, slot: np.ndarray,
         state.t += 1
         t = state.t
         speed = rate * min(1.0, t / 20) * (0.1 + 0.9 * (1 - at / length))
-        for p, g, a, b in zip(net.parts, grads, state.m, state.v, strict=True):
-            g = np.clip(g / np.float32(lanes * steps), -0.05, 0.05)
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.01) * (g * g - b)
-            p -= np.float32(speed / (1 - 0.9**t)) * a / (np.sqrt(b * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
+        for p, g, a, b, x in zip(net.parts, grads, state.m, state.v, spare, strict=True):
+            g /= np.float32(lanes * steps)
+            np.clip(g, -0.05, 0.05, out=g)
+            np.subtract(g, a, out=x)
+            x *= np.float32(0.1)
+            a += x
+            g *= g
+            g -= b
+            g *= np.float32(0.01)
+            b += g
+            np.multiply(b, np.float32(1 / (1 - 0.99**t)), out=x)
+            np.sqrt(x, out=x)
+            x += np.float32(1e-6)
+            np.multiply(a, np.float32(speed / (1 - 0.9**t)), out=g)
+            g /= x
+            p -= g
     return net
 
 
@@ -201,7 +240,9 @@ def score_documents(net: Network, cls: np.ndarray, slot: np.ndarray, docs: list[
     Documents run side by side in lanes; a lane that ends takes the next document from a fresh state, so a
     document of any length is scored whole and memory stays the same.
     """
-    known = len(cls)
+    known, n = len(cls), STATE
+    held = np.bincount(cls, minlength=len(net.bw)).tolist()
+    gates = net.embed @ net.wx + net.b  # of every word: there are fewer words than tokens
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     for at in range(0, len(order), lanes):
@@ -210,36 +251,35 @@ def score_documents(net: Network, cls: np.ndarray, slot: np.ndarray, docs: list[
         h = np.zeros((len(group), STATE), np.float32)
         prev = np.full(len(group), end, np.int64)
         total = np.zeros(len(group))
-        span = 32
-        for begin in range(0, int(sizes.max(initial=0)), span):
+        begin = 0
+        while begin < int(sizes.max(initial=0)):
             live = int((sizes > begin).sum())
-            width = min(span, int(sizes[0]) - begin)
+            width = min(max(32, SCORED_ROWS // live), int(sizes[0]) - begin)
             block = np.full((live, width), -1, np.int64)
             for j in range(live):
                 part = docs[group[j]][begin : begin + width]
                 block[j, : len(part)] = part
-            states = np.empty((width, live, STATE), np.float32)
+            begin += width
+            given = np.where(block.T >= 0, np.minimum(block.T, known), known)
+            states = np.empty((width, live, n), np.float32)
             h, prev = h[:live], prev[:live]
             for k in range(width):
-                h, _ = net.step(h, prev)
-                states[k] = h
-                prev = np.where(block[:, k] >= 0, np.minimum(block[:, k], known), known)
+                gx, gh = gates[prev], h @ net.wh
+                zr = sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
+                c = np.tanh(gx[:, 2 * n :] + zr[:, n:] * gh[:, 2 * n :])
+                states[k] = h = h + zr[:, :n] * (c - h)
+                prev = given[k]
             y = block.T.ravel()
             real = np.flatnonzero(y >= 0)
-            s, y = states.reshape(-1, STATE)[real], y[real]
+            s, y = states.reshape(-1, n)[real], y[real]
             lane = real % live
             yc = np.where(y < known, cls[np.minimum(y, known - 1)] if known else 0, len(net.bc) - 1)
-            a = s @ net.wc + net.bc
-            top = a.max(1)
-            got = a[np.arange(len(y)), yc] - top - np.log(np.exp(a - top[:, None]).sum(1))
-            rows = np.flatnonzero(y < known)
-            sort = rows[np.argsort(yc[rows], kind="stable")]
-            for part in np.split(sort, np.flatnonzero(np.diff(yc[sort])) + 1):
-                if len(part):
-                    c = yc[part[0]]
-                    u = s[part] @ net.ww[c] + net.bw[c]
-                    top = u.max(1)
-                    got[part] += u[np.arange(len(part)), slot[y[part]]] - top - np.log(np.exp(u - top[:, None]).sum(1))
+            got = _picked(s, net.wc, net.bc, yc)
+            rows, parts = _by_class(yc, np.flatnonzero(y < known))
+            s, picks, more = s[rows], slot[y[rows]], np.empty(len(rows), np.float32)
+            for c, lo, hi in parts:
+                more[lo:hi] = _picked(s[lo:hi], net.ww[c, :, : held[c]], net.bw[c, : held[c]], picks[lo:hi])
+            got[rows] += more
             total[:live] += np.bincount(lane, got, live)
         out[group] = total
     return out

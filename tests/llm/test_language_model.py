@@ -129,3 +129,17 @@ def test_most_frequent_words(spark):
     assert 250 <= some.num_rows <= 360 and lm.END in some["word"].to_pylist()
     assert some["word"].to_pylist()[:150] == [f"w{i:04}" for i in range(150)]
     assert lm.most_frequent(counts.limit(0), 10).num_rows == 0
+
+
+def test_outputs_are_those_of_a_class_s_words(monkeypatch):
+    """A class's slots behind its words are neither learned nor scored, and a long document isn't scored a few words at a time."""
+    net, cls, slot = small()
+    held, seen = set(np.bincount(cls).tolist()) | {len(net.bc)}, []
+    logits = lm._logits
+    monkeypatch.setattr(lm, "_logits", lambda s, w, b: seen.append(len(b)) or logits(s, w, b))
+    ids = np.arange(8_000) % 51
+    lm.score_documents(net, cls, slot, [ids], 0)
+    assert len(seen) <= 2 * (len(net.bc) + 1) and set(seen) <= held
+    seen.clear()
+    lm.train(net, ids[:2_000].reshape(4, -1), cls, slot, 0)
+    assert seen and set(seen) <= held
