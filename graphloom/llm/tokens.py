@@ -65,9 +65,11 @@ class _Memory:
 
     def age(self) -> None:
         """Weigh what came since the last call; past half of the bound, the young generation becomes the old one."""
-        for text, ids in islice(self.young.items(), self.weighed, None):
-            self.bytes += sys.getsizeof(text) + sys.getsizeof(ids) + _PLACE
-        self.weighed = len(self.young)
+        if more := len(self.young) - self.weighed:
+            for new in (self.young, self.young.values()):
+                self.bytes += sum(map(sys.getsizeof, islice(new, self.weighed, None)))
+            self.bytes += more * _PLACE
+            self.weighed += more
         if self.bytes >= self.half:
             self.young, self.old = {}, self.young
             self.weighed = self.bytes = 0

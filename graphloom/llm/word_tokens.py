@@ -22,6 +22,11 @@ from .tokens import _AT_ONCE, _LONGEST, _SIGNS, REMEMBERED, _Memory, _split
 WORD_END = "</w>"
 
 
+def _strings(texts: pa.StringArray) -> list[str]:
+    """Strings of an array without nulls, made in one go and not by a scalar each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """encode_all gives the ids of many texts; a null text has none."""
 
@@ -110,12 +115,12 @@ class WordEncoder:
         plain = pc.and_(pc.ascii_is_alpha(run), pc.less_equal(pc.binary_length(pieces), _LONGEST))
         at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
         runs = run.filter(plain).dictionary_encode()
-        of_runs = self._known(runs.dictionary.to_pylist())
-        out = [of_runs[i] for i in runs.indices.to_pylist()]
+        of_runs = self._known(_strings(runs.dictionary))
+        out = [of_runs[i] for i in runs.indices.to_numpy().tolist()]
         whole = pieces.filter(plain)
         begins = pc.binary_length(runs.dictionary).to_numpy()[runs.indices.to_numpy()]
         more = np.flatnonzero(pc.binary_length(whole).to_numpy() > begins)
-        for i, begin, text in zip(more.tolist(), begins[more].tolist(), whole.take(pa.array(more)).to_pylist(), strict=True):
+        for i, begin, text in zip(more.tolist(), begins[more].tolist(), _strings(whole.take(pa.array(more))), strict=True):
             out[i] += self._tail(text[begin:])
         if len(at) == len(pieces):
             return out
@@ -123,7 +128,7 @@ class WordEncoder:
         odd[at] = False
         found = np.empty(len(pieces), object)
         found[at] = out
-        found[odd] = self.pieces(pieces.filter(pa.array(odd)).to_pylist())
+        found[odd] = self.pieces(_strings(pieces.filter(pa.array(odd))))
         return found.tolist()
 
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,13 @@
 """Token ids against the library's own, round trips of token files, and what a worker keeps."""
 
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import shared, tokens
+from graphloom.llm import shared, tokens, word_tokens
 from graphloom.llm.simple8b import read_file, write_file
 
 PARTS = ["a", "b", "The", "'s", "'ll", "don't", "é", "ß", "日本", "Ω", "д", "½", "²", "x" * 70, " ", " ", " ", "  ", "\n", "\t", ".", "1", "4567", "!?", "<|endoftext|>", "\x00", "-", "_"]
@@ -50,3 +51,15 @@ def test_a_worker_keeps_one_thing():
     assert [shared.kept("x", make), shared.kept("x", make), shared.kept("y", make), shared.kept("x", make)] == [1, 1, 2, 3]
     shared.release()
     assert not shared._kept
+
+
+def test_strings_of_an_array_are_made_in_one_go():
+    """Odd pieces come through, of a slice too, and what is remembered is weighed once."""
+    pieces = ["", "a\x00b", "\x00", "\ufeffx", "é", "\U0001f600,", "z" * 70_000]
+    array = pa.array(["before", *pieces, "behind"])
+    assert word_tokens._strings(array.slice(1, len(pieces))) == pieces and word_tokens._strings(array.slice(0, 0)) == []
+    memory = tokens._Memory(1 << 20)
+    for upto in (3, 3, len(pieces) - 1):
+        memory.young.update((p, p.encode()) for p in pieces[:upto])
+        memory.age()
+        assert memory.bytes == sum(sys.getsizeof(p) + sys.getsizeof(p.encode()) + tokens._PLACE for p in pieces[:upto])
