@@ -36,17 +36,18 @@ def encode_block(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     pick = np.full(n, len(WIDTHS) - 1, np.int8)
+    narrow = codes.astype(np.uint16) if int(codes.max()) < 1 << 16 else codes
     for s in range(len(WIDTHS) - 2, -1, -1):
         # differences of a running count are right in 16 bits, for no word holds that many codes
         over = np.zeros(n + COUNTS[s] + 1, np.uint16)
-        np.cumsum(codes >= (1 << WIDTHS[s]) - 1, dtype=np.uint16, out=over[1 : n + 1])
+        np.cumsum(narrow >= (1 << WIDTHS[s]) - 1, dtype=np.uint16, out=over[1 : n + 1])
         over[n + 1 :] = over[n]
         np.copyto(pick, s, where=over[COUNTS[s] : COUNTS[s] + n] - over[:n] <= ALLOWED[s])
     # where the next word starts, and from there the fourth; four runs of starts are walked as one
     step = np.full(n + 1, n)
     step[:n] = np.minimum(np.arange(n) + np.asarray(COUNTS)[pick], n)
     second = step[step]
-    fourth = second[second].tolist()
+    fourth = memoryview(second[second])
     starts, i = [], 0
     while i < n:
         starts.append(i)
@@ -63,13 +64,14 @@ def encode_block(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(selector == s)
         if not len(own):
             continue
-        place = at[own][:, None] + np.arange(count)
+        # a row for each place in a word, so that words lie along the long axis
+        place = at[own] + np.arange(count)[:, None]
         values = padded[place]
         top = np.uint64((1 << width) - 1)
         big = values >= top
         escaped[place[big]] = True
         values[big] = top
-        words[own] |= np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
+        words[own] |= np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(width))[:, None], axis=0)
     return words, codes[escaped].astype(np.uint32)
 
 

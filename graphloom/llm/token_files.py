@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .shared import lookup, new_path, shuffle_width
 from .simple8b import read_file, write_file
-from .tokens import PORTION, encoder, portions, vocabulary_path
+from .tokens import encoder, portions, vocabulary_path
 
 FILE_IDS = 1 << 21
+#: Bytes of text that are encoded together: the more, the fewer different pieces are looked up.
+PORTION = 4 << 20
 _FILE = "shard long, piece long, n_docs long, n_ids long, data binary"
 
 
