@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .tokens import REMEMBERED, encoder, portions, vocabulary_path
+from .tokens import REMEMBERED, encoder, gathered, portions, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -141,7 +141,7 @@ def _pack(vocabulary: str, capacity: int, end_id: int, pool_ids: int, remembered
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in gathered(batches):
             for portion in portions(batch, 1):
                 ids, sizes = encode_all(portion.column(1), end_id)
                 first = 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import lookup, new_path, shuffle_width
 from .simple8b import read_file, write_file
-from .tokens import encoder, portions, vocabulary_path
+from .tokens import encoder, gathered, portions, vocabulary_path
 
 FILE_IDS = 1 << 21
 #: Bytes of text that are encoded together: the more, the fewer different pieces are looked up.
@@ -37,7 +37,7 @@ def _write(vocabulary: str, end_id: int, file_ids: int):
             ids = np.concatenate(parts)
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([piece]), pa.array([len(docs)]), pa.array([len(ids)]), pa.array([write_file(docs, np.concatenate(lengths), ids)], pa.binary())], names=["shard", "piece", "n_docs", "n_ids", "data"])
 
-        for batch in batches:
+        for batch in gathered(batches, PORTION):
             for portion in portions(batch, 1, min(PORTION, 4 * file_ids)):
                 ids, sizes = encode_all(portion.column(1), end_id)
                 docs += portion.column(0).to_pylist()

@@ -254,6 +254,23 @@ class Encoder:
         return ids, np.diff(ends[last].astype(np.int64), prepend=0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Batches of less than `most` bytes joined until they hold as many: each portion costs an index over the known runs."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and (size >= most or batch.nbytes >= most):
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        if batch.nbytes >= most:
+            yield batch
+        else:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

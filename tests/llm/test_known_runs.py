@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm.tokens import Encoder, vocabulary_path
+from graphloom.llm.tokens import Encoder, gathered, vocabulary_path
 
 RUNS = ["alpha", "Betagamma", "été", "Straße", "deltaepsilon"]
 TAILS = ["", ",", ".\nThe", "!?", "'s", "123", ".é", "\x00", "-日本"]
@@ -51,3 +51,13 @@ def test_one_long_text_past_the_bound(witness):
     texts = ["a " + " ".join(f"{'bcdfg'[i % 5]}{'aeiou'[i // 5 % 5]}{'lmnrs'[i // 25 % 5]}{'aeiou'[i // 125 % 5]}," for i in range(625))] * 2
     for _ in range(3):
         same(encoder, witness, texts)
+
+
+def test_small_batches_are_encoded_together():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([None, *(f"text {i}" for i in range(999))])], names=["id", "text"])
+    pieces = [batch.slice(i, 10) for i in range(0, 1000, 10)]
+    for most in (1, 5000, 1 << 20):
+        got = list(gathered(iter(pieces), most))
+        assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+        assert all(b.nbytes >= most for b in got[:-1])
+    assert len(got) == 1 and not list(gathered(iter([])))
