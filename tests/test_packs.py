@@ -51,6 +51,13 @@ def test_hints_and_silence(packed):
     assert not {4, 5, 6} & set(packed)
 
 
+def test_hints_for_names_that_begin_otherwise_or_are_just_alike_enough(spark, index):
+    texts = [(1, "change `etryCall`"), (2, "change `Rtore`"), (3, "change `Sttorexx`"), (4, "change `Oher`"), (5, "change `Ohe7`"), (6, "change `ryCallxx`"), (7, "change `est_gt`")]
+    got = {r["id"]: r["pack"].split("\n")[1:] for r in packs.context_packs(spark.createDataFrame(texts, "id long, text string"), index, 400).collect()}
+    hint = "Not in the code map: `{}` (did you mean {}?)".format
+    assert got == {1: [hint("etryCall", "retryCall")], 2: [hint("Rtore", "Store")], 4: [hint("Oher", "Other")], 7: [hint("est_gt", "test_get")]}
+
+
 def test_budget_is_kept_and_a_shorter_line_still_fits(spark, index):
     df = spark.createDataFrame([(1, "Fix `Store.get` in src/store.py")], "id long, text string").coalesce(1)
     for budget in (20, 60, 95):

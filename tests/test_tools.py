@@ -78,6 +78,20 @@ def test_close_names_against_brute_force(spark):
         assert sorted(r["name"] for r in got) == sorted(get_close_matches(needle, pool, 5, 0.75))
 
 
+def test_blocked_names_lose_no_pair_at_the_cutoff(spark):
+    from difflib import SequenceMatcher
+
+    pool = ["retry_call", "etry_call", "xretry_call", "Part21", "abcdef", "abcdefghi", "zaaaa", "aaaaz", "é_1𝒳", "é_1𝒳x", "", "a" * 60, "b" + "a" * 55, "one_two_three_four", "two_three_four_one", "build_1200000", "guild_1200000"]
+    needles = pool + ["abcd", "cdefgh", "tretry_cal", "Prt21", "aaaa", "_1𝒳", "c" + "a" * 58, "uild_120000x", "zzz"]
+    like = {(a, b): SequenceMatcher(None, b, a).ratio() for a in needles for b in pool}
+    names_, asked = spark.createDataFrame([(x,) for x in [*pool, None]], "name string"), spark.createDataFrame([(x,) for x in [*needles, None]], "needle string")
+    for cutoff in (0.8, 0.75):
+        got = tools.blocked_names(names_, asked, cutoff, len(pool)).collect()
+        assert {(r["needle"], r["name"]): r["ratio"] for r in got} == {k: v for k, v in like.items() if v >= cutoff}
+        best = {a: max((v, b) for (x, b), v in like.items() if x == a) for a in needles}
+        assert {r["needle"]: (r["ratio"], r["name"]) for r in tools.blocked_names(names_, asked, cutoff).collect()} == {a: v for a, v in best.items() if v[0] >= cutoff}
+
+
 def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "_x").mkdir()
     for name, data in {"a.py": b"x = 1\n", "_x/__init__.py": b"", ".hid": b"t", "bin": b"a\0b", "big.txt": b"y" * 3000, "run": b"#!/usr/bin/env python3\n", "skip.log": b""}.items():
